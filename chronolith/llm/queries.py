@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, mixing, sentencepiece_bpe, warc
+from . import chat, fingerprints, mixing, ngram_join, sentencepiece_bpe, substring_dedup, warc
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -42,10 +42,19 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(warc.round_trip(table(spark, sf_dir, "pages")))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.component_table(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_study(table(spark, sf_dir, "documents"))
 
@@ -72,10 +81,56 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_warc": op3_warc,
+    "op4_ngram_join": op4_ngram_join,
     "op5_fingerprints": op5_fingerprints,
     "op6_mixing": op6_mixing,
     "op9_chat": op9_chat,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        win AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
+        seen AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS nth FROM win),
+        gone AS (SELECT DISTINCT doc_id, i + o.range AS k FROM seen, range(0, 20) o WHERE nth > 1),
+        word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)""",
+    "op3_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        h AS (SELECT page_id, html, array_to_string(list_transform(string_split(sha1(html), ''), lambda c: lpad(bin(('0x' || c)::INT), 4, '0')), '') AS bits FROM p),
+        d AS (SELECT page_id, html, array_to_string(list_transform(range(0, 160, 5), lambda b: substr('{_BASE32}', (1 + substr(bits, b + 1, 1)::INT * 16 + substr(bits, b + 2, 1)::INT * 8
+            + substr(bits, b + 3, 1)::INT * 4 + substr(bits, b + 4, 1)::INT * 2 + substr(bits, b + 5, 1)::INT)::BIGINT, 1)), '') AS payload_digest FROM h),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS smallest FROM d)
+        SELECT page_id, strlen(html)::BIGINT AS payload_bytes, payload_digest,
+            CASE WHEN page_id = smallest THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> smallest THEN smallest END AS refers_to
+        FROM f""",
+    "op4_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, sh FROM (
+            SELECT doc_id, array_to_string(ws[i:i + 3], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 2)) AS i FROM w WHERE len(ws) >= 4)
+            UNION ALL SELECT doc_id, array_to_string(ws, ' ') || ' ' || len(ws) FROM w WHERE len(ws) BETWEEN 1 AND 3)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+        r AS (SELECT doc_id, doc_id AS at FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.at = e.x)
+        SELECT r.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.at) AS component_id
+        FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op9_chat": """
+        WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<s>', '&lt;s>'), '</s>', '&lt;/s>'), '[INST]', '&#91;INST]'), '[/INST]', '&#91;/INST]') AS body FROM r)
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+            sum(CASE WHEN role = 'assistant' THEN 7 + length(body) ELSE 14 + length(role) + length(body) END)::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id""",
+}
