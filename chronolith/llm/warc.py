@@ -43,6 +43,8 @@ _VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
 _DATE = "1970-01-01T00:00:00Z"
 #: A new file begins after so many compressed bytes, so that a reader's task stays small.
 FILE_BYTES = 16 << 20
+#: Bytes given to the decompressor at once; what it leaves is copied.
+_READ = 1 << 14
 
 RECORDS = "path string, offset long, length long, kind string, headers map<string,string>, payload binary, reason string"
 _RECORDS = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("reason", pa.string())])
@@ -183,14 +185,16 @@ def _payload(headers: dict[str, str], body: bytes) -> bytes | None:
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    engine = zlib.decompressobj(31)
-    try:
-        out = engine.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise BadRecord(f"gzip: {e}") from None
-    if not engine.eof:
-        raise BadRecord("gzip member is cut off")
-    return out, len(data) - len(engine.unused_data)
+    engine, out = zlib.decompressobj(31), []
+    while not engine.eof:
+        if at >= len(data):
+            raise BadRecord("gzip member is cut off")
+        try:
+            out.append(engine.decompress(data[at : at + _READ]))
+        except zlib.error as e:
+            raise BadRecord(f"gzip: {e}") from None
+        at += _READ
+    return b"".join(out), min(at, len(data)) - len(engine.unused_data)
 
 
 def _records_at(data: bytes, at: int) -> tuple[list[Found], int]:
