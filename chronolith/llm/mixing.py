@@ -185,7 +185,7 @@ def mix(docs: DataFrame, p: Plan | None = None, **options) -> tuple[Plan, DataFr
     sizes = checkpointed(sized(docs))
     p = p or plan(sizes, **options)
     placed = streams(sizes, p)
-    taken = pieces(placed, p).join(schedule(docs.sparkSession, p), ["source_index", "block"])
+    taken = pieces(placed, p).join(schedule(docs.sparkSession, p).hint("merge"), ["source_index", "block"])
     return p, placed, taken.select("slot", "rank", "doc_id", "source_index", "bucket", "place", "word", "words")
 
 
@@ -194,7 +194,7 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     sizes = checkpointed(sized(docs))
     p = plan(sizes, **options)
     cut = pieces(streams(sizes, p), p)
-    joined = cut.join(schedule(docs.sparkSession, p), ["source_index", "block"], "left")
+    joined = cut.join(schedule(docs.sparkSession, p).hint("merge"), ["source_index", "block"], "left")
     return (
         joined.groupBy("source_index", "bucket", "place", "doc_id", "size", "source_size", "target")
         .agg(F.sum(F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0)).alias("taken"))
