@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, mixing, ngram_join, sentencepiece_bpe, substring_dedup, warc
+from . import bm25, chat, fingerprints, language_id, mixing, ngram_join, quality, sentencepiece_bpe, substring_dedup, warc
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -63,6 +63,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op7_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 100 is a query against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(bm25.build(docs), docs.where(bm25.hundredth(F.col("doc_id"))))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents (doc_id) and all pages (page_id), with the same models."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs)
+    of_docs = language_id.identify_documents(docs, model).select("doc_id", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("declared"), "language", "probability", "accepted")
+    of_pages = language_id.identify_pages(table(spark, sf_dir, "pages"), model).select(F.lit(None).cast("long").alias("doc_id"), "page_id", "declared", "language", "probability", "accepted")
+    return of_docs.unionByName(of_pages)
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = f"{chat.CLOSE_ASSISTANT}{chat.OPEN_OTHER} ok {chat.CLOSE_OTHER}"
@@ -79,6 +94,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(quality.training_rows(docs, table(spark, sf_dir, "labels"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
@@ -86,7 +106,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_join": op4_ngram_join,
     "op5_fingerprints": op5_fingerprints,
     "op6_mixing": op6_mixing,
+    "op7_bm25_search": op7_bm25_search,
+    "op8_language_id": op8_language_id,
     "op9_chat": op9_chat,
+    "op10_quality": op10_quality,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -123,6 +146,14 @@ ORACLES: dict[str, str] = {
         r AS (SELECT doc_id, doc_id AS at FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.at = e.x)
         SELECT r.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.at) AS component_id
         FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op7_bm25_search": f"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM w) GROUP BY 1, 2),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+        st AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM w),
+        s AS (SELECT q.doc_id AS query, d.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * len(w.ws) / mean))), 4) AS score
+            FROM tf q JOIN df ON df.term = q.term JOIN tf d ON d.term = q.term JOIN w ON w.doc_id = d.doc_id, st WHERE q.doc_id % 100 = 0 GROUP BY 1, 2)
+        SELECT query, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
     "op9_chat": """
         WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
