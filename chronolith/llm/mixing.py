@@ -172,21 +172,22 @@ def pieces(placed: DataFrame, p: Plan) -> DataFrame:
     return cut.withColumn("word", low - F.col("start")).withColumn("words", F.when(F.col("block").isNull(), F.lit(0)).otherwise(high - low).cast("long"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+def sized(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), *carry)
 
 
-def mix(docs: DataFrame, p: Plan | None = None, **options) -> tuple[Plan, DataFrame, DataFrame]:
+def mix(docs: DataFrame, p: Plan | None = None, carry: Sequence[str] = (), **options) -> tuple[Plan, DataFrame, DataFrame]:
     """Mix documents (doc_id, text, source).
 
     Returns the plan, the placed documents and the mix: rows (slot, rank, doc_id, source_index,
-    bucket, place, word, words) say which words of which document a slot takes.
+    bucket, place, size, word, words) say which words of which document a slot takes.  Columns
+    to ``carry`` come along.
     """
-    sizes = checkpointed(sized(docs))
+    sizes = checkpointed(sized(docs, carry))
     p = p or plan(sizes, **options)
-    placed = streams(sizes, p)
+    placed = streams(sizes, p, carry=carry)
     taken = pieces(placed, p).join(schedule(docs.sparkSession, p).hint("merge"), ["source_index", "block"])
-    return p, placed, taken.select("slot", "rank", "doc_id", "source_index", "bucket", "place", "word", "words")
+    return p, placed, taken.select("slot", "rank", "doc_id", "source_index", "bucket", "place", "size", "word", "words", *carry)
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:

@@ -11,7 +11,8 @@ Texts are first cut where no piece of the vocabulary spans two characters; no me
 crosses such a cut, so each part is encoded alone and cached.
 
 Defined results: null text and empty text have no ids and decode to the empty string;
-characters outside the vocabulary become byte tokens.
+characters outside the vocabulary become byte tokens.  A column of the result's name is
+replaced.
 """
 
 from __future__ import annotations
@@ -252,15 +253,14 @@ def read_model(path: str) -> bytes:
 
 
 def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, arrow: pa.DataType, make) -> DataFrame:
-    if out in df.columns:
-        raise ValueError(f"the output column {out} exists")
-    schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
+    kept = [c for c in df.columns if c != out]
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
             values = batch.column(batch.schema.get_field_index(column))
-            yield batch.append_column(out, pa.array([apply(x.as_py()) for x in values], arrow))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array([apply(x.as_py()) for x in values], arrow)], [*kept, out])
 
     return df.mapInArrow(run, schema)
 

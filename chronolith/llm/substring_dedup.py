@@ -235,11 +235,10 @@ def _removed_words(p: Paths, repeated: np.ndarray) -> np.ndarray:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """All columns of ``docs`` plus ``n_words``, ``n_removed``, ``spans`` (removed words as [start, end)) and ``kept``.
 
-    ``kept`` is the words that stay, joined by one space.
+    ``kept`` is the words that stay, joined by one space.  Columns of these names, or named
+    ``chunk``, are replaced or dropped.
     """
-    extra = ("n_words", "n_removed", "spans", "kept")
-    if clash := {*extra, "chunk"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist")
+    docs = docs.drop("n_words", "n_removed", "spans", "kept", "chunk")
     chunked = with_chunk(docs, id_col)
     buckets = partitions(docs)
     seed_words = min(SEED_WORDS, window)
