@@ -12,10 +12,16 @@ sets of sizes a and b link if they share at least ``c(a, b)`` shingles.
 The boundary is where the number of subsets outgrows the entries of the lists, by a
 histogram of all set sizes.
 
+Pairs are verified in two steps: histograms of the hashes, a thirtieth of a set's size,
+bound the intersection from above; the sets themselves, taken from the texts, are only
+compared where that bound allows a link.
+
 A list of L sets is not expanded into its pairs.  First every member is verified against
-one pivot of its size range; components of these links are computed; only members of a
-list that are still in different components are paired and verified.  So groups of near
-copies cost their size, and no link that would join two components is lost.
+one pivot, the member that is in most lists, which among near copies is the text they
+come from; components of these links are computed; only members of a list that are still
+in different components are paired, if their sizes and the positions of the shared shingle
+in the order allow a link (what comes before their first common shingle is not shared).
+So groups of near copies cost their size, and no link that would join two components is lost.
 
 Hashed shingles have 64 bits.  Class ids are 64-bit hashes of sets; that no id stands for
 two sets is checked with a second hash, and the join raises an error otherwise.
@@ -32,7 +38,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import partitions
@@ -99,6 +105,18 @@ class Sets:
         self.classes = self._folded(mix(self.values ^ _U(0x8EBC6AF09C88C6E3)))
         self.checks = self._folded(mix(self.values * _U(0x589965CC75374CC3)))
 
+    def sketches(self, chosen: np.ndarray) -> list[bytes]:
+        """Histograms of some sets' hashes over a power of two of buckets, about one for four shingles.
+
+        One with a count beyond a byte is left empty: it bounds nothing.
+        """
+        out = []
+        for d in chosen.tolist():
+            buckets = 1 << max(3, int(-(-int(self.sizes[d]) // 4) - 1).bit_length())
+            counts = np.bincount((self.values[self.starts[d] : self.ends[d]] >> _U(20)).astype(np.int64) & (buckets - 1), minlength=buckets)
+            out.append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"")
+        return out
+
     def _folded(self, x: np.ndarray) -> np.ndarray:
         total = np.r_[_U(0), np.cumsum(x, dtype=np.uint64)]
         return mix(total[self.ends] - total[self.starts] + self.sizes.astype(np.uint64)).view(np.int64)
@@ -111,24 +129,30 @@ def _text_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tupl
             yield part, Sets(part.column(part.num_columns - 1), width)
 
 
-def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, class, check) for each document, and counts (shingle, n) of frequent shingles."""
-    schema = "kind int, doc_id long, n long, class long, check long"
+def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, class, check) for each document, (class, sketch) for the sets, and counts (shingle, n) of frequent shingles.
+
+    A class's sketch comes once from each block of texts that has it.
+    """
+    schema = "kind int, doc_id long, n long, class long, check long, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "n", "class", "check"]
+        names = ["kind", "doc_id", "n", "class", "check", "sketch"]
         for part, sets in _text_blocks(batches, width):
             k = len(sets.sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), part.column(0), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.classes), pa.array(sets.checks)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), part.column(0), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.classes), pa.array(sets.checks), pa.nulls(k, pa.binary())], names)
+            one = np.unique(sets.classes, return_index=True)[1]
+            m = len(one)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, 2, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(sets.classes[one]), pa.nulls(m, pa.int64()), pa.array(sets.sketches(one), pa.binary())], names)
             found = np.sort(sets.values)
             new = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.zeros(0, np.int64)
             count = np.diff(np.r_[new, len(found)])
             often = count >= _OFTEN
             m = int(often.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(count[often]), pa.array(found[new[often]].view(np.int64)), pa.nulls(m, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(count[often]), pa.array(found[new[often]].view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names)
 
     both = checkpointed(docs.mapInArrow(run, schema))
-    return both.where("kind = 0").drop("kind"), both.where("kind = 1").select(F.col("class").alias("shingle"), "n")
+    return both.where("kind = 0").select("doc_id", "n", "class", "check"), both.where("kind = 2").select("class", "sketch"), both.where("kind = 1").select(F.col("class").alias("shingle"), "n")
 
 
 class Order:
@@ -150,9 +174,9 @@ class Order:
         return out
 
 
-def _keys(sets: Sets, chosen: np.ndarray, order: Order, bound: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """List keys of some sets, and the number of the set of each."""
-    keys, owner = [], []
+def _keys(sets: Sets, chosen: np.ndarray, order: Order, bound: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """List keys of some sets, the number of the set of each, and its position in the order (0 for subsets)."""
+    keys, owner, place = [], [], []
     frequency = order.frequency(sets.values)
     for d in chosen.tolist():
         i, j, s = sets.starts[d], sets.ends[d], int(sets.sizes[d])
@@ -162,102 +186,121 @@ def _keys(sets: Sets, chosen: np.ndarray, order: Order, bound: int, num: int, de
                 picked = np.array(list(combinations(range(s), c)), np.int64)
                 keys.append(mix(mix(values ^ _U(0xE7037ED1A0B428DB))[picked].sum(axis=1, dtype=np.uint64) + _U(c)))
                 owner.append(np.full(len(picked), d))
+                place.append(np.zeros(len(picked), np.int32))
         if s * den >= num * (bound + 1):
             n = prefix_length(s, num, den)
             f = frequency[i:j]
             first = values[:n] if not f[:n].any() else values[np.argsort(f, kind="stable")[:n]]
             keys.append(first)
             owner.append(np.full(n, d))
+            place.append(np.arange(n, dtype=np.int32))
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(owner)
-
-
-def _pivots(bounds: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarray:
-    """For lists sorted by size, the entry each is compared with: the first whose size can link."""
-    n = len(size)
-    group = np.cumsum(bounds) - 1
-    pivot = np.flatnonzero(bounds)[group]
-    while True:
-        far = size[pivot] * den < num * size
-        if not far.any():
-            return pivot
-        at = np.flatnonzero(far)
-        first = at[np.r_[True, group[at[1:]] != group[at[:-1]]]]
-        start = np.full(group[-1] + 1, n)
-        start[group[first]] = first
-        new = start[group]
-        pivot = np.where(np.arange(n) >= new, new, pivot)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    return np.concatenate(keys), np.concatenate(owner), np.concatenate(place)
 
 
 def _scan(num: int, den: int):
-    """The lists of a bucket: rows (list, class, size, pivot) of those with a pair of sizes that can link."""
+    """The lists of a bucket: rows (list, class, size, place) of those with a pair of sizes that can link."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, cls, size = (np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()]) for c, t in (("keys", np.uint64), ("classes", np.int64), ("sizes", np.int32)))
+        columns = (("keys", np.uint64), ("classes", np.int64), ("sizes", np.int32), ("places", np.int32))
+        key, cls, size, place = (np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()]) for c, t in columns)
         size = size.astype(np.int64)
-        order = np.lexsort((cls, size, key))
-        key, cls, size = key[order], cls[order], size[order]
+        order = np.lexsort((place, cls, size, key))
+        key, cls, size, place = key[order], cls[order], size[order], place[order]
         keep = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
-        key, cls, size = key[keep], cls[keep], size[keep]
-        same = np.r_[False, key[1:] == key[:-1]]
-        near = np.r_[False, same[1:] & (size[:-1] * den >= num * size[1:])]
+        key, cls, size, place = key[keep], cls[keep], size[keep], place[keep]
+        near = np.r_[False, (key[1:] == key[:-1]) & (size[:-1] * den >= num * size[1:])]
         keep = near | np.r_[near[1:], False]
-        key, cls, size = key[keep], cls[keep], size[keep]
+        key, cls, size, place = key[keep], cls[keep], size[keep], place[keep]
         if not len(key):
-            return pa.table({"list": pa.array([], pa.int64()), "class": pa.array([], pa.int64()), "size": pa.array([], pa.int32()), "pivot": pa.array([], pa.int64())})
-        bounds = np.r_[True, (key[1:] != key[:-1]) | (size[:-1] * den < num * size[1:])]
-        pivot = cls[_pivots(bounds, size, num, den)]
-        at = np.flatnonzero(bounds)
-        count = np.diff(np.r_[at, len(key)])
-        content = np.add.reduceat(mix(cls.view(np.uint64)), at)
-        name = np.repeat(mix(content).view(np.int64), count)
-        _, first = np.unique(mix(name.view(np.uint64)) ^ cls.view(np.uint64), return_index=True)
-        return pa.table({"list": name[first], "class": cls[first], "size": pa.array(size[first], pa.int32()), "pivot": pivot[first]})
+            name = np.zeros(0, np.int64)
+        else:
+            bounds = np.r_[True, (key[1:] != key[:-1]) | (size[:-1] * den < num * size[1:])]
+            at = np.flatnonzero(bounds)
+            content = np.add.reduceat(mix(cls.view(np.uint64)), at)
+            name = np.repeat(mix(content).view(np.int64), np.diff(np.r_[at, len(key)]))
+        return pa.table({"list": name, "class": cls, "size": pa.array(size, pa.int32()), "place": pa.array(place, pa.int32())})
 
     return run
 
 
 def candidate_lists(docs: DataFrame, width: int, order: Order, bound: int, num: int, den: int) -> DataFrame:
-    """Rows (list, class, size, pivot): lists of at least two classes whose sizes can link."""
+    """Rows (list, class, size, place): lists of at least two classes whose sizes can link.
+
+    Lists of the same classes are one, with the least place of each class.
+    """
     buckets = partitions(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        keys, owners, sizes = [], [], []
+        keys, owners, sizes, places = [], [], [], []
         held = 0
 
         def out() -> pa.RecordBatch:
-            a, b, c = np.concatenate(keys), np.concatenate(owners), np.concatenate(sizes)
+            a, *rest = (np.concatenate(x) for x in (keys, owners, sizes, places))
             bucket = (a % _U(buckets)).astype(np.int64)
             at = np.argsort(bucket, kind="stable")
             found, low = np.unique(bucket[at], return_index=True)
             cuts = list(zip(low, np.r_[low[1:], len(a)].astype(np.int64), strict=True))
-            a, b, c = a[at], b[at], c[at]
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary()) for x in (a, b, c))], ["bucket", "keys", "classes", "sizes"])
+            sent = [x[at] for x in (a, *rest)]
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary()) for x in sent)], ["bucket", "keys", "classes", "sizes", "places"])
 
         for _, sets in _text_blocks(batches, width):
             _, first = np.unique(sets.classes, return_index=True)
             chosen = np.array([d for d in np.sort(first).tolist() if sets.sizes[d] and int(sets.classes[d]) not in known], np.int64)
             known.update(sets.classes[chosen].tolist())
-            a, owner = _keys(sets, chosen, order, bound, num, den)
+            a, owner, place = _keys(sets, chosen, order, bound, num, den)
             if len(a):
                 keys.append(a)
                 owners.append(sets.classes[owner])
                 sizes.append(sets.sizes[owner].astype(np.int32))
+                places.append(place)
                 held += len(a)
             if held >= 1 << 20:
                 yield out()
-                keys, owners, sizes, held = [], [], [], 0
+                keys, owners, sizes, places, held = [], [], [], [], 0
         if held:
             yield out()
 
-    sent = docs.select("text").mapInArrow(send, "bucket int, keys binary, classes binary, sizes binary")
-    return sent.groupBy("bucket").applyInArrow(_scan(num, den), "list long, class long, size int, pivot long").distinct()
+    sent = docs.select("text").mapInArrow(send, "bucket int, keys binary, classes binary, sizes binary, places binary")
+    found = sent.groupBy("bucket").applyInArrow(_scan(num, den), "list long, class long, size int, place int")
+    return found.groupBy("list", "class", "size").agg(F.min("place").alias("place"))
+
+
+def _can_link(num: int, den: int) -> Column:
+    """Whether the sizes sx, sy and the places ix, iy of a shared shingle allow enough common ones."""
+    left = F.least(F.col("sx") - F.col("ix"), F.col("sy") - F.col("iy"))
+    return (left * (num + den) >= num * (F.col("sx") + F.col("sy"))) & (F.col("sx") * den >= F.col("sy") * num) & (F.col("sy") * den >= F.col("sx") * num)
+
 
+def possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y, sx, sy) of classes and their sizes whose sketches allow a link."""
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) of classes that link, by the exact intersection of their sets (class, shingles)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.ones(batch.num_rows, bool)
+            for k, (m, n, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)):
+                if not a or not b:
+                    continue
+                a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+                if len(a) > len(b):
+                    a, b = b, a
+                both = int(np.minimum(a, b.reshape(-1, len(a)).sum(0) if len(b) > len(a) else b).sum())
+                ok[k] = den * both >= num * (m + n - both)
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct()
+    known = sketches.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("sketch").alias("sketch"))
+    rows = pairs.join(known.toDF("x", "a"), "x").join(known.toDF("y", "b"), "y").select("x", "y", "sx", "sy", "a", "b")
+    return checkpointed(rows.mapInArrow(run, "x long, y long").distinct())
+
+
+def verified(pairs: DataFrame, rows: DataFrame, holders: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) of classes that link, by the exact intersection of their sets.
+
+    ``holders`` names a document of each class; only the texts of classes in pairs are read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,18 +311,21 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                     a, b = b, a
                 both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
                 ok[k] = den * both >= num * (len(a) + len(b) - both)
-            kept = batch.select([0, 1]).filter(pa.array(ok))
-            yield kept
+            yield batch.select([0, 1]).filter(pa.array(ok))
 
+    if pairs.isEmpty():
+        return pairs
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct()
+    sets = checkpointed(_sets_of(rows, holders.join(wanted, "class", "left_semi"), width))
     left = sets.select(F.col("class").alias("x"), F.col("shingles").alias("sx"))
     right = sets.select(F.col("class").alias("y"), F.col("shingles").alias("sy"))
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long").distinct()
+    return checkpointed(pairs.join(left, "x").join(right, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long").distinct())
 
 
 def component_table(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """Per document (doc_id, text): doc_id, n_shingles and component_id, the smallest id reachable by links."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks, counts = shingle_sets(rows, width)
+    marks, sketches, counts = shingle_sets(rows, width)
     full = marks.where("n > 0")
     clash = full.groupBy("class").agg(F.min("check").alias("a"), F.max("check").alias("b"), F.min("n").alias("c"), F.max("n").alias("d")).where("a <> b OR c <> d").limit(1).collect()
     if clash:
@@ -289,25 +335,24 @@ def component_table(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     histogram = {r["n"]: r["k"] for r in full.where(F.col("n") <= 2 * _LARGEST_BOUNDARY).select("class", "n").distinct().groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
     lists = checkpointed(candidate_lists(rows, width, order, boundary(histogram, num, den), num, den))
 
-    wanted = lists.select("class").distinct()
-    holders = full.where("doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(wanted, "class", "left_semi")
-    sets = checkpointed(_sets_of(rows, holders, width))
-
-    stars = lists.where("class <> pivot").select(F.col("class").alias("x"), F.col("pivot").alias("y")).distinct()
+    holders = checkpointed(full.where("doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(lists.select("class").distinct(), "class", "left_semi"))
+    degree = lists.groupBy("class").agg(F.count(F.lit(1)).alias("degree"))
+    pivot = lists.join(degree, "class").groupBy("list").agg(F.max(F.struct("degree", "class", "size", "place")).alias("p")).select("list", F.col("p.class").alias("y"), F.col("p.size").alias("sy"), F.col("p.place").alias("iy"))
+    stars = lists.select("list", F.col("class").alias("x"), F.col("size").alias("sx"), F.col("place").alias("ix")).join(pivot, "list")
+    stars = checkpointed(stars.where((F.col("x") != F.col("y")) & _can_link(num, den)).select("x", "y", "sx", "sy").distinct())
     several = full.groupBy("doc_id").agg(F.min("class").alias("u"), F.max("class").alias("v")).where("doc_id IS NOT NULL AND u <> v").select(F.col("doc_id").alias("d"), "u")
     same_id = full.join(several, F.col("doc_id") == F.col("d")).select("u", F.col("class").alias("v"))
-    links = checkpointed(verified(stars, sets, num, den).toDF("u", "v").unionByName(same_id))
+    links = verified(possible(stars, sketches, num, den), rows, holders, width, num, den).toDF("u", "v").unionByName(same_id)
     parts = connected_components(links)
 
-    member = lists.join(parts.withColumnRenamed("node", "class"), "class", "left").select("list", "class", "size", "pivot", F.coalesce("component", "class").alias("part"))
+    member = lists.join(parts.withColumnRenamed("node", "class"), "class", "left").select("list", "class", "size", "place", F.coalesce("component", "class").alias("part"))
     split = member.groupBy("list").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("list")
     open_ = checkpointed(member.join(split, "list", "left_semi"))
-    one = open_.select("list", F.col("class").alias("x"), F.col("size").alias("sx"), F.col("part").alias("px"), F.col("pivot").alias("vx"))
-    other = open_.select("list", F.col("class").alias("y"), F.col("size").alias("sy"), F.col("part").alias("py"), F.col("pivot").alias("vy"))
-    near = (F.col("sx") * den >= F.col("sy") * num) & (F.col("sy") * den >= F.col("sx") * num)
-    tried = (F.col("vx") == F.col("y")) | (F.col("vy") == F.col("x"))
-    rest = one.join(other, "list").where((F.col("px") < F.col("py")) & near & ~tried).select("x", "y").distinct()
-    more = checkpointed(verified(rest, sets, num, den))
+    one, other = (open_.select("list", F.col("class").alias(c), F.col("size").alias(f"s{c}"), F.col("place").alias(f"i{c}"), F.col("part").alias(f"p{c}")) for c in "xy")
+    rest = one.join(other, "list").where((F.col("px") < F.col("py")) & _can_link(num, den)).select("x", "y", "sx", "sy").distinct()
+    tried = stars.select("x", "y").unionByName(stars.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    rest = checkpointed(rest.join(tried, ["x", "y"], "left_anti"))
+    more = verified(possible(rest, sketches, num, den), rows, holders, width, num, den)
     ends = more.join(parts.toDF("x", "cx"), "x", "left").join(parts.toDF("y", "cy"), "y", "left")
     bridges = connected_components(ends.select(F.coalesce("cx", "x").alias("u"), F.coalesce("cy", "y").alias("v")))
 
