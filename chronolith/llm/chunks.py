@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Chunks for each shuffle partition, so that hashing chunks to partitions stays even.
-CHUNKS_PER_PARTITION = 4
+CHUNKS_PER_PARTITION = 8
+#: Documents of a chunk, at least, so that its messages do not shrink to nothing where partitions are many.
+LEAST_DOCUMENTS = 128
 
 
 def partitions(df: DataFrame) -> int:
@@ -42,6 +44,6 @@ def id_bounds(df: DataFrame, id_col: str, n: int) -> list[int]:
 
 
 def with_chunk(df: DataFrame, id_col: str, n: int | None = None) -> DataFrame:
-    """Add an int column ``chunk`` that never decreases with the id."""
-    n = n or CHUNKS_PER_PARTITION * partitions(df)
+    """Add an int column ``chunk`` that never decreases with the id (instead of any of that name)."""
+    n = n or min(CHUNKS_PER_PARTITION * partitions(df), -(-df.count() // LEAST_DOCUMENTS))
     return df.withColumn("chunk", range_index(F.col(id_col), id_bounds(df, id_col, n)).cast("int"))
