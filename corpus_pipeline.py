@@ -6,7 +6,8 @@ last return the columns of ``documents``, extra columns included.
 
 1. language: rows whose language stays undetermined go (no letters or digits at all, or
    no language that is likely enough).  Without any labelled row nothing goes.
-2. near_duplicates: of each group of near copies the document with the smallest id stays;
+2. near_duplicates: of each group of near copies (five-word shingles, a Jaccard similarity
+   of 0.8 or more) the document with the smallest id stays;
    of rows that repeat its id, the one with the smallest text.  Rows without id stay.
 3. repeated_passages: words of passages that occur earlier are cut from the texts; what
    stays is joined by one space.  Texts without such a passage stay as they are.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from chronolith.llm import language_id, mixing, ngram_join, queries, substring_dedup
 from chronolith.llm.common import WORD, shared_dir, table
 
+#: Near copies: shingles of so many words, and at least this Jaccard similarity.
+SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
 _ID, _HASH = "_cp_id", "_cp_hash"
 
 
@@ -51,7 +54,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.component_table(docs)
+    found = ngram_join.component_table(docs, SHINGLE_WORDS, *SIMILARITY)
     stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_cp_rows")).withColumnRenamed("doc_id", "_r_id")
     keyed = docs.withColumn(_ID, F.col("doc_id").cast("long"))
     kept = keyed.join(stay, F.col(_ID) == F.col("_r_id"))

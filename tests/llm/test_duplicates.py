@@ -44,11 +44,11 @@ def table(spark, rows):
     return spark.createDataFrame([(*r, "en", 1) for r in rows], "doc_id long, text string, lang string, class int")
 
 
-def brute_components(rows):
+def brute_components(rows, width=4, percent=85):
     sets = []
     for i, text in rows:
         words = [w for w in WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
-        sets.append((i, {tuple(words[k : k + 4]) for k in range(len(words) - 3)} if len(words) >= 4 else {tuple(words)} if words else set()))
+        sets.append((i, {tuple(words[k : k + width]) for k in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} if words else set()))
     root = {}
 
     def find(x):
@@ -59,21 +59,21 @@ def brute_components(rows):
     for a in range(len(sets)):
         for b in range(a):
             (i, s), (j, t) = sets[a], sets[b]
-            if i is not None and j is not None and s and t and 100 * len(s & t) >= 85 * len(s | t):
+            if i is not None and j is not None and s and t and 100 * len(s & t) >= percent * len(s | t):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     return sorted(((i, len(s), None if i is None else find(i)) for i, s in sets), key=str)
 
 
-def components(spark, rows):
-    return sorted((tuple(r) for r in ngram_join.component_table(table(spark, rows)).collect()), key=str)
+def components(spark, rows, width=4, percent=85):
+    return sorted((tuple(r) for r in ngram_join.component_table(table(spark, rows), width, percent, 100).collect()), key=str)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_random(spark, seed):
+@pytest.mark.parametrize(("seed", "width", "percent"), [(1, 4, 85), (2, 5, 80), (3, 1, 60)])
+def test_components_random(spark, seed, width, percent):
     rows = random_docs(seed)
-    want = brute_components(rows)
+    want = brute_components(rows, width, percent)
     assert len({c for _, _, c in want}) < len(rows) - 20
-    assert components(spark, rows) == want
+    assert components(spark, rows, width, percent) == want
 
 
 def test_components_edges(spark):
@@ -165,3 +165,20 @@ def test_repeats_whole_table(spark, sf):
     got = sorted((r["doc_id"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in substring_dedup.remove_repeats(docs).collect())
     want = sorted((i, n, hashlib.sha256(k.encode()).hexdigest()) for i, _, n, k in brute_repeats([(r["doc_id"], r["text"]) for r in docs.collect()], 20))
     assert got == want
+
+
+def test_spans_that_differ_are_kept():
+    """A span whose digest differs from that of its source is not removed."""
+    import numpy as np
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(60))
+    p = substring_dedup.Paths(pa.array([text, "other words here", text]), 10)
+    none = substring_dedup._answer([])
+    assert substring_dedup._removed_words(p, substring_dedup._repeated(p, 7, none)).sum() == 60
+    start, n, source = substring_dedup.Verdict(p, 7, none).spans(p)
+    assert (start.tolist(), n.tolist(), source.tolist()) == ([63], [60], [7 << 32])
+    digest = substring_dedup.Digests(p.words)
+    assert digest(63, 60) == digest(0, 60) != digest(1, 60)
+    wrong = substring_dedup._answer([(substring_dedup._DIFFERENT, np.array([7]), start.astype(np.uint64), n.astype(np.uint64))])
+    assert not substring_dedup._repeated(p, 7, wrong).any()

@@ -44,7 +44,7 @@ def test_stages_on_documents(spark, sf):
     assert all(not re.search(r"[^\W_]", t or "") or len(t) < 20 for _, t in gone)
 
     kept = cp.near_duplicates(spark, kept, sf)
-    stay = {i for i, _, c in brute_components(rows) if i == c}
+    stay = {i for i, _, c in brute_components(rows, 5, 80) if i == c}
     rows = [r for r in rows if r[0] in stay]
     assert kept.columns == docs.columns and texts(kept) == rows
 
