@@ -10,13 +10,15 @@ in paths of one minimizer, and paths are compacted by it:
    it is one unit, and all places but the first, by source coordinate, are repeats.
 2. Paths that branch are taken apart into their edges, which are exchanged likewise, by
    two independent 64-bit hashes of the words.
-3. Every chunk joins the answers to its documents, marks the repeated edges, and joins
-   overlapping ones to long spans.
+3. Repeated units that are consecutive in both places join to long spans with source
+   coordinates (chunk, word).  A digest of a span's words goes to the chunk of the source,
+   which compares it with that of its own words there; spans that differ are not removed.
+4. Every chunk joins the answers to its documents, marks the repeated edges and removes
+   the words that they cover.
 
 Chunks are ranges of document ids in order, so the first chunk of a key has its first
-place: messages need no coordinates, a document moves once, and a key that a third of
-all rows share costs one entry per chunk.  Key and fingerprint hold 128 bits of the
-words of a path, as the two hashes do of an edge.
+place.  A document moves once (the exchange of documents to chunks is reused by all four
+steps), and a key that a third of all rows share costs one entry per chunk.
 
 Defined results: null and empty texts have no words; documents of fewer than ``WINDOW``
 words keep all; rows with equal ids are documents of their own, ordered by text; a null
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +46,9 @@ _U = np.uint64
 _BASE = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0x2545F4914F6CDD1D)
 #: Fingerprint of several paths.
 _BRANCHES = _U(0)
-_MESSAGE = "bucket int, chunk int, a binary, b binary"
+_MESSAGE = "receiver int, chunk int, a binary, b binary, c binary"
 _ANSWER = "chunk int, kind int, a binary, b binary"
-_UNIT_REPEATED, _BRANCHING, _EDGE_REPEATED = 0, 1, 2
+_UNIT_REPEATED, _BRANCHING, _EDGE_REPEATED, _DIFFERENT = 0, 1, 2, 3
 
 
 def _spans_hash(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -136,21 +139,19 @@ def _ends(starts: np.ndarray, n: int) -> np.ndarray:
     return np.append(starts[1:], n)[: len(starts)].astype(np.int64)
 
 
-def _send(chunk: int, a: np.ndarray, b: np.ndarray, buckets: int) -> pa.Table:
-    """Messages of a chunk, one row for each bucket of keys ``a``."""
-    bucket = (a % _U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    a, b = a[order], b[order]
-    found, at = np.unique(bucket[order], return_index=True)
-    ends = _ends(at, len(a))
-    return pa.table(
-        {
-            "bucket": pa.array(found, pa.int32()),
-            "chunk": pa.array(np.full(len(found), chunk), pa.int32()),
-            "a": pa.array([a[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()),
-            "b": pa.array([b[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()),
-        }
-    )
+def _messages(receiver: np.ndarray, chunk: int, *columns: np.ndarray) -> pa.Table:
+    """Messages of a chunk, one row for each receiver; rows of each column go to the receiver at their place."""
+    order = np.argsort(receiver, kind="stable")
+    found, at = np.unique(receiver[order], return_index=True)
+    ends = _ends(at, len(receiver))
+    packed = [[x[order[i:j]].tobytes() for i, j in zip(at, ends, strict=True)] for x in columns]
+    packed += [[b""] * len(found)] * (3 - len(columns))
+    return pa.table({"receiver": pa.array(found, pa.int32()), "chunk": pa.array(np.full(len(found), chunk), pa.int32())} | {name: pa.array(x, pa.binary()) for name, x in zip("abc", packed, strict=True)})
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Receivers of keys: below zero, to differ from chunks."""
+    return -1 - (keys % _U(buckets)).astype(np.int64)
 
 
 def _received(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,9 +176,11 @@ def _answer(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.T
 
 
 def _judge_units(table: pa.Table) -> pa.Table:
+    """For each key in several chunks: whether it is one unit, and then its source as ``chunk << 32 | word``."""
     chunk, key, prints = _received(table)
+    place = np.concatenate([np.frombuffer(x, np.uint32) for x in table["c"].to_pylist()])
     order = np.lexsort((chunk, key))
-    chunk, key, prints = chunk[order], key[order], prints[order]
+    chunk, key, prints, place = chunk[order], key[order], prints[order], place[order]
     new = np.r_[True, key[1:] != key[:-1]]
     bounds = np.flatnonzero(new)
     group = np.cumsum(new) - 1
@@ -185,8 +188,8 @@ def _judge_units(table: pa.Table) -> pa.Table:
     several = np.diff(np.r_[bounds, len(key)]) > 1
     unit = (several & (low == high) & (low != _BRANCHES))[group] & ~new
     branching = (several & ((low != high) | (low == _BRANCHES)))[group]
-    none = key[:0]
-    return _answer([(_UNIT_REPEATED, chunk[unit], key[unit], none), (_BRANCHING, chunk[branching], key[branching], none)])
+    source = ((chunk.astype(np.uint64) << _U(32)) | place)[bounds][group]
+    return _answer([(_UNIT_REPEATED, chunk[unit], key[unit], source[unit]), (_BRANCHING, chunk[branching], key[branching], key[:0])])
 
 
 def _judge_edges(table: pa.Table) -> pa.Table:
@@ -207,26 +210,69 @@ def _ordered(table: pa.Table, id_col: str, text_col: str) -> pa.Table:
     return table.take(pc.sort_indices(table, sort_keys=[(id_col, "ascending"), (text_col, "ascending")], null_placement="at_start"))
 
 
-def _repeated(p: Paths, answers: pa.Table) -> np.ndarray:
+class Verdict:
+    """What the answers to a chunk say of its paths."""
+
+    def __init__(self, p: Paths, chunk: int, answers: pa.Table):
+        unit, source = _answers(answers, _UNIT_REPEATED)
+        branching = _answers(answers, _BRANCHING)[0]
+        keys, prints, first = p.units()
+        self.apart = _member(p.key, np.sort(np.r_[branching, keys[prints == _BRANCHES]]))
+        order = np.argsort(unit)
+        unit, source = unit[order], source[order]
+        known = _member(keys, unit)
+        #: Of each distinct key, where its source is: elsewhere, or the first path here.
+        at = (_U(chunk) << _U(32)) | p.starts[p.run[first]].astype(np.uint64)
+        at[known] = source[np.searchsorted(unit, keys[known])]
+        later = np.ones(len(p.run), bool)
+        later[first] = known
+        #: The repeated units, and the source of each.
+        self.units = np.flatnonzero(~self.apart & later)
+        self.source = at[np.searchsorted(keys, p.key[self.units])]
+
+    def spans(self, p: Paths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units that are consecutive here and at the source, joined: first word here, words, and source."""
+        start, size, source = p.starts[p.run[self.units]], p.size[self.units], self.source
+        new = np.ones(len(start), bool)
+        new[1:] = (start[1:] != start[:-1] + size[:-1]) | (source[1:] != source[:-1] + size[:-1].astype(np.uint64))
+        at = np.flatnonzero(new)
+        total = np.add.reduceat(size, at) if len(at) else size
+        return start[at], total + p.window - 1, source[at]
+
+
+def _repeated(p: Paths, chunk: int, answers: pa.Table) -> np.ndarray:
     """Which edges of a chunk start earlier too."""
     out = np.zeros(len(p.starts), bool)
     if not len(p.run):
         return out
-    unit, branching = np.sort(_answers(answers, _UNIT_REPEATED)[0]), _answers(answers, _BRANCHING)[0]
-    keys, prints, first = p.units()
-    apart = _member(p.key, np.sort(np.r_[branching, keys[prints == _BRANCHES]]))
-    later = np.ones(len(p.run), bool)
-    later[first] = _member(keys, unit)
-    runs = np.flatnonzero(~apart & later)
-    size = p.size[runs]
-    out[np.repeat(p.run[runs], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = True
-    at, a, b = p.edges(np.flatnonzero(apart))
+    v = Verdict(p, chunk, answers)
+    size = p.size[v.units]
+    out[np.repeat(p.run[v.units], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = True
+    for start, n in zip(*_answers(answers, _DIFFERENT), strict=True):
+        at = int(np.searchsorted(p.starts, int(start)))
+        out[at : at + int(n) - p.window + 1] = False
+    at, a, b = p.edges(np.flatnonzero(v.apart))
     own = _both(a, b)
     known = np.sort(_both(*_answers(answers, _EDGE_REPEATED)))
     out[at] = ~_first_of_each(own) | _member(own, known)
     return out
 
 
+class Digests:
+    """Digests of spans of words, spaces apart."""
+
+    def __init__(self, words: Words):
+        self.words, self.raw, self.known = words, words.buf.tobytes(), {}
+
+    def __call__(self, start: int, n: int) -> bytes:
+        found = self.known.get((start, n))
+        if found is None:
+            w = self.words
+            text = b" ".join([self.raw[i:j] for i, j in zip(w.starts[start : start + n].tolist(), w.ends[start : start + n].tolist(), strict=True)])
+            found = self.known[start, n] = xxhash.xxh3_128_digest(text)
+        return found
+
+
 def _removed_words(p: Paths, repeated: np.ndarray) -> np.ndarray:
     n, starts = len(p.h), p.starts[repeated]
     return np.cumsum(np.bincount(starts, minlength=n + 1) - np.bincount(starts + p.window, minlength=n + 1))[:n] > 0
@@ -243,25 +289,52 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = partitions(docs)
     seed_words = min(SEED_WORDS, window)
     of = lambda table: Paths(_ordered(table.select([id_col, text_col]), id_col, text_col)[text_col].combine_chunks(), window, seed_words)
+    nothing = np.zeros(0, np.uint64)
 
     def send_units(table: pa.Table) -> pa.Table:
-        keys, prints, _ = of(table).units()
-        return _send(table["chunk"][0].as_py(), keys, prints, buckets)
-
-    def send_edges(table: pa.Table, answers: pa.Table) -> pa.Table:
-        branching = np.sort(_answers(answers, _BRANCHING)[0]) if table.num_rows else np.zeros(0, np.uint64)
-        if not len(branching):
-            return _send(0, branching, branching, buckets)
         p = of(table)
+        keys, prints, first = p.units()
+        return _messages(_bucket(keys, buckets), table["chunk"][0].as_py(), keys, prints, p.starts[p.run[first]].astype(np.uint32) if len(first) else nothing)
+
+    def send_edges_and_spans(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _messages(nothing.astype(np.int64), 0)
+        p, chunk = of(table), table["chunk"][0].as_py()
+        if not len(p.run):
+            return _messages(nothing.astype(np.int64), chunk)
+        branching = np.sort(_answers(answers, _BRANCHING)[0])
         _, a, b = p.edges(np.flatnonzero(_member(p.key, branching)))
         first = _first_of_each(_both(a, b))
-        return _send(table["chunk"][0].as_py(), a[first], b[first], buckets)
+        edges = _messages(_bucket(a[first], buckets), chunk, a[first], b[first])
+        start, n, source = Verdict(p, chunk, answers).spans(p)
+        digest = Digests(p.words)
+        prints = np.frombuffer(b"".join([digest(i, k) for i, k in zip(start.tolist(), n.tolist(), strict=True)]), "V16")
+        place = np.stack([source & _U(0xFFFFFFFF), n.astype(np.uint64), start.astype(np.uint64)], 1)
+        return pa.concat_tables([edges, _messages((source >> _U(32)).astype(np.int64), chunk, place, prints)])
+
+    def judge(table: pa.Table, messages: pa.Table) -> pa.Table:
+        """Edges of a bucket, or spans whose source is in a chunk."""
+        if not messages.num_rows:
+            return _answer([])
+        if not table.num_rows:
+            return _judge_edges(messages)
+        words = Words(_ordered(table.select([id_col, text_col]), id_col, text_col)[text_col].combine_chunks())
+        digest, wrong = Digests(words), []
+        for chunk, places, prints in zip(messages["chunk"].to_pylist(), messages["a"].to_pylist(), messages["b"].to_pylist(), strict=True):
+            places = np.frombuffer(places, np.uint64).reshape(-1, 3).astype(np.int64)
+            for k, (start, n, there) in enumerate(places.tolist()):
+                if digest(start, n) != prints[16 * k : 16 * k + 16]:
+                    wrong.append((chunk, there, n))
+        if not wrong:
+            return _answer([])
+        chunk, there, n = (np.array(x, np.int64) for x in zip(*wrong, strict=True))
+        return _answer([(_DIFFERENT, chunk, there.astype(np.uint64), n.astype(np.uint64))])
 
     def resolve(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = _ordered(table, id_col, text_col)
         texts = table[text_col].combine_chunks()
         p = Paths(texts, window, seed_words)
-        gone = _removed_words(p, _repeated(p, answers))
+        gone = _removed_words(p, _repeated(p, table["chunk"][0].as_py(), answers))
         offsets = p.words.offsets
         spans, kept, n_gone = [], [], []
         for d, text in enumerate(texts):
@@ -281,7 +354,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return out.append_column("spans", pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))).append_column("kept", pa.array(kept, pa.string()))
 
     by_chunk = chunked.groupBy("chunk")
-    units = by_chunk.applyInArrow(send_units, _MESSAGE).groupBy("bucket").applyInArrow(_judge_units, _ANSWER)
-    edges = by_chunk.cogroup(units.groupBy("chunk")).applyInArrow(send_edges, _MESSAGE).groupBy("bucket").applyInArrow(_judge_edges, _ANSWER)
+    units = by_chunk.applyInArrow(send_units, _MESSAGE).groupBy("receiver").applyInArrow(_judge_units, _ANSWER)
+    sent = by_chunk.cogroup(units.groupBy("chunk")).applyInArrow(send_edges_and_spans, _MESSAGE)
+    rest = by_chunk.cogroup(sent.groupBy("receiver")).applyInArrow(judge, _ANSWER)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return by_chunk.cogroup(units.unionByName(edges).groupBy("chunk")).applyInArrow(resolve, f"{fields}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
+    return by_chunk.cogroup(units.unionByName(rest).groupBy("chunk")).applyInArrow(resolve, f"{fields}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
