@@ -27,14 +27,11 @@ id comes first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .chunks import partitions, with_chunk
 from .words import Words, mix, window_hashes, window_rows
