@@ -1,12 +1,13 @@
 """Documents in chunks of consecutive ids, the unit of work of several operators.
 
-A chunk is a range of ids of about equal row count.  Operators exchange messages
+A chunk is a range of ids with about as much text as any other.  Operators exchange messages
 between chunks instead of moving documents: a key that holds a third of all rows
 costs at most one message entry per chunk.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,10 @@ from pyspark.sql import types as T
 CHUNKS_PER_PARTITION = 8
 #: Documents of a chunk, at least, so that its messages do not shrink to nothing where partitions are many.
 LEAST_DOCUMENTS = 128
+#: Rows sampled for each chunk, and for all of them at most, to find the bounds.
+SAMPLE_PER_CHUNK, MOST_SAMPLED = 64, 1 << 22
+#: What a row counts besides its text.
+_ROW_BYTES = 64
 
 
 def partitions(df: DataFrame) -> int:
@@ -35,15 +40,28 @@ def range_index(value: Column, bounds: list[int]) -> Column:
     return F.coalesce(F.when(value.isNotNull(), found), F.lit(0))
 
 
-def id_bounds(df: DataFrame, id_col: str, n: int) -> list[int]:
-    """At most ``n - 1`` ids that cut the rows in ``n`` ranges of about equal count."""
+def id_bounds(df: DataFrame, id_col: str, text_col: str, n: int, rows: int) -> list[int]:
+    """At most ``n - 1`` ids that cut the rows in ``n`` ranges of about equal bytes of text.
+
+    They come from a sample of ids and sizes, of bounded length (all rows of small tables).
+    Where the cuts fall affects balance only.
+    """
     if n < 2:
         return []
-    found = df.select(F.col(id_col).cast("double").alias("id")).where("id IS NOT NULL").approxQuantile("id", [k / n for k in range(1, n)], 0.1 / n)
-    return sorted({int(x) for x in found})
+    sizes = df.select(F.col(id_col).cast("long").alias("id"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + _ROW_BYTES).alias("size")).where("id IS NOT NULL")
+    share = min(SAMPLE_PER_CHUNK * n, MOST_SAMPLED) / rows
+    got = (sizes.sample(share, seed=17) if share < 1 else sizes).toArrow()
+    ids, weights = got["id"].to_numpy(), got["size"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    total = np.cumsum(weights[order])
+    if not len(total):
+        return []
+    cuts = np.searchsorted(total, total[-1] * np.arange(1, n) / n)
+    return sorted(set(ids[order][cuts].tolist()))
 
 
-def with_chunk(df: DataFrame, id_col: str, n: int | None = None) -> DataFrame:
+def with_chunk(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """Add an int column ``chunk`` that never decreases with the id (instead of any of that name)."""
-    n = n or min(CHUNKS_PER_PARTITION * partitions(df), -(-df.count() // LEAST_DOCUMENTS))
-    return df.withColumn("chunk", range_index(F.col(id_col), id_bounds(df, id_col, n)).cast("int"))
+    rows = df.count()
+    n = min(CHUNKS_PER_PARTITION * partitions(df), -(-rows // LEAST_DOCUMENTS))
+    return df.withColumn("chunk", range_index(F.col(id_col), id_bounds(df, id_col, text_col, n, rows)).cast("int"))

@@ -282,7 +282,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``chunk``, are replaced or dropped.
     """
     docs = docs.drop("n_words", "n_removed", "spans", "kept", "chunk")
-    chunked = with_chunk(docs, id_col)
+    chunked = with_chunk(docs, id_col, text_col)
     buckets = partitions(docs)
     seed_words = min(SEED_WORDS, window)
     of = lambda table: Paths(_ordered(table.select([id_col, text_col]), id_col, text_col)[text_col].combine_chunks(), window, seed_words)
