@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +54,7 @@ class TimeTravel:
         return self
 
     def option(self, key: str, value: str) -> TimeTravel:
-        """A session setting to hold while the query is planned (see ``run_options``)."""
+        """A session setting that holds while ``df`` builds the query, and for ``run``."""
         self._options[key] = value
         return self
 
@@ -59,12 +62,27 @@ class TimeTravel:
     def run_options(self) -> dict[str, str]:
         return dict(self._options)
 
+    def run(self) -> list:
+        """Collect the result under the options (an aggregate, or a few rows)."""
+        with self._settings():
+            return self._build().collect()
+
+    @contextmanager
+    def _settings(self) -> Iterator[None]:
+        conf = self.table.df().sparkSession.conf
+        before = {k: conf.get(k, None) for k in self._options}
+        for key, value in self._options.items():
+            conf.set(key, value)
+        try:
+            yield
+        finally:
+            for key, value in before.items():
+                conf.unset(key) if value is None else conf.set(key, value)
+
     def rows(self) -> DataFrame:
         if self._period is None or self._at is None:
             raise ValueError("contains is missing")
         df = self.table.df()
-        for key, value in self._options.items():
-            df.sparkSession.conf.set(key, value)
         at = constant(self._at, self.table.schema[self._period.start].dataType)
         df = df.where(contains(F.col(self._period.start), F.col(self._period.end), at))
         for predicate in self._where:
@@ -72,6 +90,10 @@ class TimeTravel:
         return df
 
     def df(self) -> DataFrame:
+        with self._settings():
+            return self._build()
+
+    def _build(self) -> DataFrame:
         if self._items and self._aggregates:
             raise ValueError("either all items of a query are aggregates or none")
         if not self._items and not self._aggregates:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolith import TemporalGrouping, TemporalTable, TimeTravel, aggregate, avg_, coalesced, count_, max_, min_, sum_
+from chronolith.operators.metrics import observed
 from chronolith.plans import queries
 
 DAY0 = dt.date(2020, 1, 1)
@@ -183,3 +184,16 @@ def test_all_queries_run(spark, sf):
     assert set(queries.ORACLES) == set(queries.QUERIES)
     for name in ("tg_where_none", "tt_empty_select"):
         assert queries.QUERIES[name](spark, sf).count() == 0
+
+
+def test_observed(spark):
+    m = observed(TimeTravel(table(spark, [(0, 3, 1, "a"), (1, 3, 2, "b")])).contains("p", day(2)).select("v").df())
+    m.df.collect()
+    assert m.get()["rows"] == 2 and m.get()["seconds"] > 0
+
+
+def test_option_holds_while_planned(spark):
+    q = TimeTravel(table(spark, [(0, 3, 1, "a")])).contains("p", day(2)).option("spark.sql.shuffle.partitions", "3").select("v")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert q.df().count() == 1 and q.run_options == {"spark.sql.shuffle.partitions": "3"}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
