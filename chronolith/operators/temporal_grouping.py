@@ -178,7 +178,7 @@ class TemporalGrouping:
             *(F.coalesce(F.sum(c).over(before), F.lit(0)).cast(types.get(c, "long")).alias(f"{c}_carry") for c in sums),
             F.lead("_first").over(along).alias("_after"),
         )
-        on = F.col("_w") == F.col("_w_w")
+        on = F.col("_w").eqNullSafe(F.col("_w_w"))  # no null filters, so that both sides share one exchange of changes
         for c in by:
             on = on & F.col(c).eqNullSafe(F.col(f"{c}_w"))
         joined = points.join(carry, on)

@@ -197,3 +197,12 @@ def test_option_holds_while_planned(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     assert q.df().count() == 1 and q.run_options == {"spark.sql.shuffle.partitions": "3"}
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_one_scan_for_sums_two_with_extremes(spark, sf):
+    """The changes by instant are exchanged once and reused."""
+    for name, scans in (("tg_b5", 1), ("tg_minmax_whole", 2)):
+        df = queries.QUERIES[name](spark, sf)
+        df.collect()
+        text = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert text.count("Scan parquet") == scans and "ReusedExchange" in text, name
