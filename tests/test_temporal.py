@@ -201,7 +201,7 @@ def test_option_holds_while_planned(spark):
 
 def test_one_scan_for_sums_two_with_extremes(spark, sf):
     """The changes by instant are exchanged once and reused."""
-    for name, scans in (("tg_b5", 1), ("tg_minmax_whole", 2)):
+    for name, scans in (("tg_b5", 1), ("tg_a2", 2)):
         df = queries.QUERIES[name](spark, sf)
         df.collect()
         text = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
