@@ -36,8 +36,8 @@ from .words import blocks
 BUCKETS = 1 << 14
 #: Labelled texts for each language that the trigram models are counted on, at most, and bytes of each text's share of the counts.
 SAMPLE = 1500
-EFFECTIVE = 60
-ACCEPT = 0.6
+EFFECTIVE = 200
+ACCEPT = 0.5
 _HOST_WEIGHT = 8.0
 _SMOOTH = 0.5
 _U = np.uint32
