@@ -2,14 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_ROOT = Path(__file__).resolve().parents[2]
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, where its folder is not on their path: once for each application."""
+    context = spark.sparkContext
+    on_path = str(_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if on_path or (context.master.startswith("local[") and os.getcwd() == str(_ROOT)) or context.applicationId in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="chronolith-")  # the driver's copy, which it serves as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/chronolith-{context.applicationId}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted((_ROOT / "chronolith").rglob("*.py")):
+            out.write(path, path.relative_to(_ROOT))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

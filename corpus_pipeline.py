@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm import language_id, mixing, ngram_join, queries, substring_dedup
-from chronolith.llm.common import WORD, shared_dir, table
+from chronolith.llm.common import WORD, shared_dir, ship, table
 
 #: Near copies: shingles of so many words, and at least this Jaccard similarity.
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
@@ -43,6 +43,7 @@ def _same(left: DataFrame, right: DataFrame) -> Column:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     model = language_id.train(docs)
     if not model.languages:
         return docs
@@ -54,6 +55,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     found = ngram_join.component_table(docs, SHINGLE_WORDS, *SIMILARITY)
     stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_cp_rows")).withColumnRenamed("doc_id", "_r_id")
     keyed = docs.withColumn(_ID, F.col("doc_id").cast("long"))
@@ -65,6 +67,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     cut = substring_dedup.remove_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     size = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
@@ -72,6 +75,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     keyed = _keyed(docs)
     plan, _, mix = mixing.mix(keyed.select(F.col(_ID).alias("doc_id"), "text", "source", F.col(_HASH).alias("carried")), carry=("carried",))
     blocks = mixing.source_table(spark, plan).select("source_index", F.greatest(F.lit(1), F.ceil(F.col("source_size") / plan.block_words)).alias("blocks"))
@@ -86,6 +90,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return queries.sentencepiece_digests(docs, queries.piece_model())
 
 

@@ -254,3 +254,17 @@ def test_events_fold(spark):
     d = spark.createDataFrame(ev, "conv_id long, seq long, kind string, role string, text string, target long")
     got = [(r["seq"], r["role"], r["text"]) for r in chat.reconstruct(d).orderBy("seq").collect()]
     assert got == [(1, "user", "hi!"), (2, "assistant", "Good day")]
+
+
+def test_package_is_shipped(spark, tmp_path, monkeypatch):
+    """Workers can import the package wherever the driver was started."""
+    from chronolith.llm import common
+
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.delenv("PYTHONPATH", raising=False)
+    monkeypatch.setattr(common, "_shipped", set())
+    added = []
+    monkeypatch.setattr(spark.sparkContext, "addPyFile", added.append)
+    common.ship(spark)
+    common.ship(spark)
+    assert len(added) == 1 and added[0].endswith(".zip")
