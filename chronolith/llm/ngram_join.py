@@ -54,7 +54,7 @@ _OFTEN = 3
 _LARGEST_BOUNDARY = 24
 #: Cost of an entry of an inverted list in subsets.
 _LIST_COST = 4
-_BLOCK = 8 << 20
+_BLOCK = 4 << 20
 
 
 def least_overlap(a: int, b: int, num: int, den: int) -> int:
@@ -257,7 +257,7 @@ def candidate_lists(docs: DataFrame, width: int, order: Order, bound: int, num:
                 sizes.append(sets.sizes[owner].astype(np.int32))
                 places.append(place)
                 held += len(a)
-            if held >= 1 << 20:
+            if held >= 1 << 19:
                 yield out()
                 keys, owners, sizes, places, held = [], [], [], [], 0
         if held:
@@ -348,8 +348,11 @@ def component_table(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     member = lists.join(parts.withColumnRenamed("node", "class"), "class", "left").select("list", "class", "size", "place", F.coalesce("component", "class").alias("part"))
     split = member.groupBy("list").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("list")
     open_ = checkpointed(member.join(split, "list", "left_semi"))
-    one, other = (open_.select("list", F.col("class").alias(c), F.col("size").alias(f"s{c}"), F.col("place").alias(f"i{c}"), F.col("part").alias(f"p{c}")) for c in "xy")
-    rest = one.join(other, "list").where((F.col("px") < F.col("py")) & _can_link(num, den)).select("x", "y", "sx", "sy").distinct()
+    every = open_.groupBy("class").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "list"))), lambda e: e.list).alias("lists"))
+    full_rows = open_.join(every, "class")
+    one, other = (full_rows.select("list", F.col("class").alias(c), F.col("size").alias(f"s{c}"), F.col("place").alias(f"i{c}"), F.col("part").alias(f"p{c}"), F.col("lists").alias(f"l{c}")) for c in "xy")
+    first = F.get(F.array_intersect("lx", "ly"), F.lit(0)) == F.col("list")  # a pair comes once, from the first list that both are in
+    rest = one.join(other, "list").where((F.col("px") < F.col("py")) & _can_link(num, den) & first).select("x", "y", "sx", "sy")
     tried = stars.select("x", "y").unionByName(stars.select(F.col("y").alias("x"), F.col("x").alias("y")))
     rest = checkpointed(rest.join(tried, ["x", "y"], "left_anti"))
     more = verified(possible(rest, sketches, num, den), rows, holders, width, num, den)
