@@ -18,7 +18,7 @@ replaced.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "▁"
-_MAX_CACHED = 300_000
+_MAX_CACHED = 200_000
 
 
 class Vocabulary:
@@ -106,6 +106,12 @@ class Encoder:
 
         self.segments = Segments()
 
+    def release(self) -> None:
+        """Empty the caches: a worker outlives its task."""
+        self.segments.clear()
+        self.parts.clear()
+        self.compatible.clear()
+
     def _joins(self, left: str, right: str) -> bool:
         """Whether ``left`` then ``right`` is the encoding of their concatenation.
 
@@ -252,27 +258,30 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, arrow: pa.DataType, make) -> DataFrame:
+def _mapped(df: DataFrame, model: bytes, column: str, out: str, kind: T.DataType, arrow: pa.DataType, apply: Callable) -> DataFrame:
     kept = [c for c in df.columns if c != out]
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apply = make()
-        for batch in batches:
-            values = batch.column(batch.schema.get_field_index(column))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array([apply(x.as_py()) for x in values], arrow)], [*kept, out])
+        coder = encoder(model)
+        try:
+            for batch in batches:
+                values = batch.column(batch.schema.get_field_index(column))
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array([apply(coder, x.as_py()) for x in values], arrow)], [*kept, out])
+        finally:
+            coder.release()
 
     return df.mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, model: bytes, text_col: str = "text", out: str = "ids") -> DataFrame:
     """Add the ids of each whole text as array<int>.  Null and empty texts have an empty array."""
-    return _mapped(df, text_col, out, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), lambda: encoder(model).encode)
+    return _mapped(df, model, text_col, out, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), Encoder.encode)
 
 
 def decode(df: DataFrame, model: bytes, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text of each id array.  A null array decodes to the empty string."""
-    return _mapped(df, ids_col, out, T.StringType(), pa.string(), lambda: lambda ids: encoder(model).decode(ids or []))
+    return _mapped(df, model, ids_col, out, T.StringType(), pa.string(), lambda coder, ids: coder.decode(ids or []))
 
 
 def library(path: str) -> sentencepiece.SentencePieceProcessor:
