@@ -6,8 +6,13 @@ sorted term hashes and their postings.  A query is a set of terms.  In a shard,
 1. the postings of its rare terms are added up;
 2. every block of ``BLOCK`` documents gets an upper bound: the best of these sums in the
    block plus, for each frequent term, the largest contribution in the block (block maxima);
-3. the blocks with the highest bounds are scored exactly, which gives a threshold: the
-   k-th best score so far; only blocks whose bound reaches it are scored at all.
+3. the blocks with the highest bounds are scored, which gives a threshold: the k-th best
+   score so far; only blocks whose bound reaches it are scored at all, each for all queries
+   that need it in one matrix product.
+
+Documents of a shard are ordered by their most frequent term, which puts texts of one
+language together and makes block maxima tight.  A first part of the shards is searched
+alone; the k-th best scores it finds are the thresholds that the other shards start from.
 
 Document frequencies, the number of documents and their mean length are those of the
 whole corpus, so scores of different shards compare, and the best k of all shards are
@@ -29,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,7 +51,9 @@ SHARD = 8192
 #: A term of more than this share of a shard's documents is frequent; at most so many are.
 _FREQUENT, _MOST_FREQUENT = 1 / 16, 2048
 _U = np.uint64
-_INDEX = "ids binary, lengths binary, terms binary, counts binary, docs binary, tf binary"
+#: One of so many shards is searched first, for the thresholds.
+_FIRST = 8
+_INDEX = "part int, ids binary, lengths binary, terms binary, counts binary, docs binary, tf binary"
 
 
 def _distinct_terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,15 +66,23 @@ def _distinct_terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[new], owner[new], np.diff(np.r_[new, len(h)])
 
 
-def _pack(ids: list[np.ndarray], parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], lengths: list[np.ndarray]) -> pa.RecordBatch:
+def _pack(part: int, ids: list[np.ndarray], parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], lengths: list[np.ndarray]) -> pa.RecordBatch:
     term, doc, tf = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    order = np.lexsort((doc, term))
-    term, doc, tf = term[order], doc[order], tf[order]
+    n = sum(map(len, ids))
+    leading = np.zeros(n, np.uint64)
+    by_count = np.lexsort((term, tf, doc))
+    leading[doc[by_count]] = term[by_count]  # the last one of each document stays
+    order = np.argsort(leading, kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    doc = place[doc]
+    sorted_ = np.lexsort((doc, term))
+    term, doc, tf = term[sorted_], doc[sorted_], tf[sorted_]
     at = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
     counts = np.diff(np.r_[at, len(term)])
     small = np.uint16 if not len(tf) or tf.max() < 65536 else np.uint32
-    columns = (np.concatenate(ids), np.concatenate(lengths), term[at], counts.astype(np.int32), doc.astype(np.uint16), tf.astype(small))
-    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], ["ids", "lengths", "terms", "counts", "docs", "tf"])
+    columns = (np.concatenate(ids)[order], np.concatenate(lengths)[order], term[at], counts.astype(np.int32), doc.astype(np.uint16), tf.astype(small))
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], ["part", "ids", "lengths", "terms", "counts", "docs", "tf"])
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
@@ -74,12 +90,13 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, parts, lengths, held = [], [], [], 0
+        part = TaskContext.get().partitionId() % _FIRST
         for batch in batches:
             for i, j in blocks(batch.column(1), 4 << 20):
                 for low in range(i, j, shard):
                     high = min(j, low + shard)
                     if held + high - low > shard:
-                        yield _pack(ids, parts, lengths)
+                        yield _pack(part, ids, parts, lengths)
                         ids, parts, lengths, held = [], [], [], 0
                     words = Words(batch.column(1)[low:high], lower=True)
                     term, doc, tf = _distinct_terms(words)
@@ -88,7 +105,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
                     lengths.append(words.counts.astype(np.int32))
                     held += high - low
         if held:
-            yield _pack(ids, parts, lengths)
+            yield _pack(part, ids, parts, lengths)
 
     path = f"{shared_dir(docs.sparkSession)}/bm25-{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
@@ -145,69 +162,65 @@ class Shard:
         often = np.flatnonzero(self.counts > max(_FREQUENT * self.n, 8))
         often = np.sort(often[np.argsort(-self.counts[often], kind="stable")[:_MOST_FREQUENT]])
         self.blocks = -(-self.n // BLOCK)
-        self.dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
-        self.place = np.full(len(self.terms), -1, np.int32)
-        self.place[often] = np.arange(len(often))
-        self.often = often
+        #: Frequent terms' contributions by block, term and document.
+        self.dense = np.zeros((self.blocks, len(often), BLOCK))
+        self.column = np.full(len(self.terms), -1, np.int32)
+        self.column[often] = np.arange(len(often))
         for k, t in enumerate(often):
             at = slice(self.ends[t] - self.counts[t], self.ends[t])
-            self.dense[k, self.docs[at]] = self.impacts[at]
-        self.maxima = self.dense.reshape(len(often), self.blocks, BLOCK).max(2)
-
-    def exact_dense(self, frequent: np.ndarray, weights: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """What frequent terms add to some documents, in full precision."""
-        out = np.zeros(len(docs))
-        order = np.argsort(docs)
-        asked = docs[order]
-        for t, w in zip(self.often[frequent], weights, strict=True):
-            low, high = self.ends[t] - self.counts[t], self.ends[t]
-            at = np.minimum(low + np.searchsorted(self.docs[low:high], asked), high - 1)
-            out[order] += np.where(self.docs[at] == asked, w * self.impacts[at], 0.0)
-        return out
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, bounds: np.ndarray, top: int, most: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """The best documents for each query: ``terms[bounds[q]:bounds[q + 1]]`` with their weights."""
+            self.dense[self.docs[at] // BLOCK, k, self.docs[at] % BLOCK] = self.impacts[at]
+        self.maxima = self.dense.max(2)
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, bounds: np.ndarray, floors: np.ndarray, top: int, most: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Documents and scores for each query ``terms[bounds[q]:bounds[q + 1]]``: all that reach its floor and are among the best ``top``."""
         place = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
         known = self.terms[place] == terms if len(self.terms) else np.zeros(len(terms), bool)
         for first in range(0, len(bounds) - 1, most):
-            queries = range(first, min(first + most, len(bounds) - 1))
-            asked = np.zeros((len(queries), len(self.dense)), np.float32)
-            found = []
-            for q in queries:
+            last = min(first + most, len(bounds) - 1)
+            asked = np.zeros((last - first, self.dense.shape[1]))
+            rare = np.zeros((last - first, self.blocks * BLOCK))
+            for q in range(first, last):
                 at = slice(bounds[q], bounds[q + 1])
                 t, w = place[at][known[at]], weights[at][known[at]]
-                column = self.place[t]
+                column = self.column[t]
                 asked[q - first, column[column >= 0]] = w[column >= 0]
-                found.append((t[column < 0], w[column < 0], column[column >= 0], w[column >= 0]))
-            above = asked @ self.maxima.reshape(len(self.dense), self.blocks)
-            for q, (t, w, column, dense_weights) in zip(queries, found, strict=True):
-                if len(t) or len(column):
-                    yield (q, *self._best(t, w, column, dense_weights, asked[q - first], above[q - first], top))
-
-    def _best(self, t: np.ndarray, w: np.ndarray, column: np.ndarray, dense_weights: np.ndarray, asked: np.ndarray, above: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-        count = self.counts[t]
-        at = np.repeat(self.ends[t] - np.cumsum(count), count) + np.arange(count.sum())
-        rare = np.bincount(self.docs[at], self.impacts[at] * np.repeat(w, count), self.blocks * BLOCK)
-        bound = rare.reshape(self.blocks, BLOCK).max(1) + above
+                t, w = t[column < 0], w[column < 0]
+                count = self.counts[t]
+                at = np.repeat(self.ends[t] - np.cumsum(count), count) + np.arange(count.sum())
+                rare[q - first] = np.bincount(self.docs[at], self.impacts[at] * np.repeat(w, count), rare.shape[1])
+            yield from ((first + q, d, x) for q, d, x in self._best(asked, rare.reshape(len(rare), self.blocks, BLOCK), floors[first:last], top))
+
+    def _best(self, asked: np.ndarray, rare: np.ndarray, floors: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Score the blocks whose bounds reach the threshold.  A little slack covers rounding."""
+        bound = rare.max(2) + asked @ self.maxima.T
         some = min(self.blocks, -(-top // BLOCK) + 1)
-        best = np.argpartition(-bound, some - 1)[:some]
-        floor = 0.0
-
-        def scored(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            docs = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            dense = self.dense.reshape(len(self.dense), self.blocks, BLOCK)
-            part = dense if len(chosen) == self.blocks else dense[:, chosen]
-            return docs, rare.reshape(self.blocks, BLOCK)[chosen].ravel() + asked @ part.reshape(len(self.dense), -1)
-
-        _, score = scored(best)
-        floor = np.partition(score, -top)[-top] if len(score) >= top else 0.0
-        slack = 1e-4 * (1 + abs(floor))
-        docs, score = scored(np.flatnonzero(bound >= floor - slack))
-        if len(score) > top:
-            floor = max(floor, np.partition(score, -top)[-top])
-        keep = (score >= floor - slack) & (score > 0) & (docs < self.n)
-        docs = docs[keep]
-        return docs, rare[docs] + self.exact_dense(column, dense_weights, docs)
+        likely = np.argpartition(-bound, some - 1, axis=1)[:, :some]
+        floor = floors.copy()
+        for q in range(len(asked)):
+            score = np.concatenate([rare[q, b] + asked[q] @ self.dense[b] for b in likely[q]])
+            if len(score) > top:
+                floor[q] = max(floor[q], np.partition(score, -top)[-top])
+        floor -= 1e-3
+        found_q, found_d, found_s = [], [], []
+        for b in range(self.blocks):
+            who = np.flatnonzero(bound[:, b] >= floor)
+            if not len(who):
+                continue
+            score = rare[who, b] + asked[who] @ self.dense[b]
+            i, j = np.nonzero((score >= floor[who][:, None]) & (score > 0))
+            found_q.append(who[i])
+            found_d.append(j + b * BLOCK)
+            found_s.append(score[i, j])
+        if not sum(map(len, found_q)):
+            return
+        query, docs, score = np.concatenate(found_q), np.concatenate(found_d), np.round(np.concatenate(found_s), 4)
+        ids = self.ids[np.minimum(docs, self.n - 1)]
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        start = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        for i, j in zip(start, np.r_[start[1:], len(query)].astype(np.int64), strict=True):
+            j = min(j, i + top)
+            yield int(query[i]), ids[i:j], score[i:j]
 
 
 def search(index: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = TOP, query_terms_at_once: int = QUERY_TERMS) -> DataFrame:
@@ -217,32 +230,35 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_co
     asked = checkpointed(query_terms(queries, id_col, text_col).join(term_counts(index), "term").select("query", "term", F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("weight")))
     parts = max(1, -(-asked.count() // query_terms_at_once))
     best = None
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     for part in range(parts):
-        mine = asked.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part) if parts > 1 else asked
-        found = _one_block(index, mine.toArrow(), mean, top)
+        mine = (asked.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part) if parts > 1 else asked).toArrow()
+        first = checkpointed(_one_block(index.where("part = 0"), mine, {}, mean, top))
+        floors = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == top).select("query", "score").toArrow()
+        rest = _one_block(index.where("part <> 0"), mine, dict(zip(floors["query"].to_pylist(), floors["score"].to_pylist(), strict=True)), mean, top)
+        found = first.unionByName(rest)
         best = found if best is None else best.unionByName(found)
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query", "rank", "doc_id", "score")
 
 
-def _one_block(index: DataFrame, asked: pa.Table, mean: float, top: int) -> DataFrame:
+def _one_block(index: DataFrame, asked: pa.Table, floors: dict[int, float], mean: float, top: int) -> DataFrame:
     query, term, weight = asked["query"].to_numpy(), asked["term"].to_numpy().view(np.uint64), asked["weight"].to_numpy()
     order = np.lexsort((term, query))
     query, term, weight = query[order], term[order], weight[order]
     names, at = np.unique(query, return_index=True)
-    block = index.sparkSession.sparkContext.broadcast((names, term, weight, np.r_[at, len(query)]))
+    least = np.array([floors.get(q, 0.0) for q in names.tolist()])
+    block = index.sparkSession.sparkContext.broadcast((names, term, weight, np.append(at, len(query)), least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, term, weight, bounds = block.value
+        names, term, weight, bounds, least = block.value
         for batch in batches:
             for row in range(batch.num_rows):
                 shard = Shard({c: batch.column(k)[row].as_buffer() for k, c in enumerate(batch.schema.names)}, mean)
-                out = [(names[q], shard.ids[docs], np.round(score, 4)) for q, docs, score in shard.search(term, weight, bounds, top)]
-                rows = [(np.full(len(d), q), d, s) for q, d, s in ((q, d[o], s[o]) for q, d, s, o in ((q, d, s, np.lexsort((d, -s))[:top]) for q, d, s in out)) if len(d)]
+                rows = [(np.full(len(ids), names[q]), ids, score) for q, ids, score in shard.search(term, weight, bounds, least, top)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["query", "doc_id", "score"])
 
-    return index.mapInArrow(run, "query long, doc_id long, score double")
+    return index.drop("part").mapInArrow(run, "query long, doc_id long, score double")
 
 
 def hundredth(id_col: Column) -> Column:
