@@ -10,16 +10,25 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch between the JVM and Python, where the session has Spark's default of 64 MB: both hold a few of them for each task.
+ARROW_BYTES = 8 << 20
+_ARROW_LIMIT, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, where its folder is not on their path: once for each application."""
+    """Ready a session: small Arrow batches, and Python workers that can import this package.
+
+    The package is added to the application, once, where its folder is not on the workers' path.
+    """
+    if spark.conf.get(_ARROW_LIMIT) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW_LIMIT, f"{ARROW_BYTES}b")
     context = spark.sparkContext
     on_path = str(_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if on_path or (context.master.startswith("local[") and os.getcwd() == str(_ROOT)) or context.applicationId in _shipped:
@@ -60,6 +69,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of ids or hashes, at most, that are broadcast: some ten megabytes.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A checkpoint of a narrow side of a join, marked for broadcast only if its counted rows are few; else it is shuffled."""
+    found = checkpointed(df)
+    return F.broadcast(found) if found.count() <= BROADCAST_ROWS else found.hint("merge")
+
+
 def make_dir(spark: SparkSession, directory: str) -> None:
     """Create a folder in whatever store it names."""
     path = spark._jvm.org.apache.hadoop.fs.Path(directory)

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import partitions
-from .common import checkpointed
+from .common import broadcast_if_small, checkpointed
 from .graph import connected_components
 from .words import Words, blocks, mix, shingles
 
@@ -316,7 +316,7 @@ def verified(pairs: DataFrame, rows: DataFrame, holders: DataFrame, width: int,
     if pairs.isEmpty():
         return pairs
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct()
-    sets = checkpointed(_sets_of(rows, holders.join(wanted, "class", "left_semi"), width))
+    sets = checkpointed(_sets_of(rows, broadcast_if_small(holders.join(wanted, "class", "left_semi")), width))
     left = sets.select(F.col("class").alias("x"), F.col("shingles").alias("sx"))
     right = sets.select(F.col("class").alias("y"), F.col("shingles").alias("sy"))
     return checkpointed(pairs.join(left, "x").join(right, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long").distinct())
