@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm import language_id, mixing, ngram_join, queries, substring_dedup
-from chronolith.llm.common import WORD, shared_dir, ship, table
+from chronolith.llm.common import WORD, broadcast_if_small, checkpointed, shared_dir, ship, table
 
 #: Near copies: shingles of so many words, and at least this Jaccard similarity.
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
@@ -50,20 +50,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _keyed(docs)
     none = F.lit(None).cast("string")
     rows = keyed.select(F.col(_ID).alias("_r_id"), F.col(_HASH).alias("_r_hash"), F.col("source").cast("string").alias("host"), none.alias("domain"), none.alias("suffix"), none.alias("declared"), F.col("text").cast("string").alias("text"))
-    rejected = language_id.fuse(rows, model).where("NOT accepted").select("_r_id", "_r_hash").distinct()
+    rejected = broadcast_if_small(language_id.fuse(rows, model).where("NOT accepted").select("_r_id", "_r_hash").distinct())
     return keyed.join(rejected, _same(keyed, rejected), "left_anti").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = ngram_join.component_table(docs, SHINGLE_WORDS, *SIMILARITY)
-    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_cp_rows")).withColumnRenamed("doc_id", "_r_id")
+    found = checkpointed(ngram_join.component_table(docs, SHINGLE_WORDS, *SIMILARITY)).where("doc_id IS NOT NULL")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_r_id")).distinct()
+    twice = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_r_id"))
     keyed = docs.withColumn(_ID, F.col("doc_id").cast("long"))
-    kept = keyed.join(stay, F.col(_ID) == F.col("_r_id"))
-    one = kept.where("_cp_rows = 1").select(docs.columns)
+    leave, merge = broadcast_if_small(gone.unionByName(twice).distinct()), broadcast_if_small(twice)
+    one = keyed.join(leave, F.col(_ID) == F.col("_r_id"), "left_anti").select(docs.columns)
     rest = [c for c in docs.columns if c != "text"]
-    several = kept.where("_cp_rows > 1").groupBy(_ID).agg(F.min(F.struct("text", *rest)).alias("_cp")).select(*(F.col("_cp")[c].alias(c) for c in docs.columns))
-    return one.unionByName(several).unionByName(docs.where("doc_id IS NULL"))
+    several = keyed.join(merge, F.col(_ID) == F.col("_r_id"), "left_semi").groupBy(_ID).agg(F.min(F.struct("text", *rest)).alias("_cp"))
+    return one.unionByName(several.select(*(F.col("_cp")[c].alias(c) for c in docs.columns)))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
