@@ -29,7 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "▁"
-_MAX_CACHED = 200_000
+#: Entries of each generation of a cache; longer keys are not kept.
+_MAX_CACHED, _LONG = 150_000, 200
+#: Above all ids.
+_OTHER = 1 << 20
 
 
 class Vocabulary:
@@ -76,6 +79,25 @@ class Vocabulary:
         return last
 
 
+class _Cache(dict):
+    """Results of a function, in two generations: when the young one is full, it becomes the old one."""
+
+    def __init__(self, make: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= _LONG:
+            if len(self) >= _MAX_CACHED:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Encoder:
     """Encodes and decodes texts; one for each Python worker and model."""
 
@@ -83,34 +105,22 @@ class Encoder:
         self.vocab = v = Vocabulary(model)
         self.automaton = ahocorasick.Automaton()
         for p in v.split:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (v.ids[p], len(p)))
         self.automaton.make_automaton()
-        self.compatible: dict[tuple[str, str], bool] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        #: Whether token b may follow token a, by ``a << 20 | b``.
+        self.compatible: dict[int, bool] = {}
         self.surface = [p.replace(SPACE, " ").encode() for p in v.pieces]
         for b, i in v.byte_ids.items():
             self.surface[i] = bytes([b])
         for i in v.control:
             self.surface[i] = b""
         self.surface[v.unknown] = v.unknown_surface
-        outer = self
-
-        class Segments(dict):
-            def __missing__(self, segment: str) -> tuple[int, ...]:
-                if len(self) >= _MAX_CACHED:
-                    self.clear()
-                ids = tuple(chain.from_iterable(map(outer._part, outer._cut(segment))))
-                if len(segment) <= 200:
-                    self[segment] = ids
-                return ids
-
-        self.segments = Segments()
+        self.parts = _Cache(self._by_prefix_table)
+        self.segments = _Cache(lambda segment: tuple(chain.from_iterable([self.parts[p] for p in self._cut(segment)])))
 
     def release(self) -> None:
-        """Empty the caches: a worker outlives its task."""
-        self.segments.clear()
-        self.parts.clear()
-        self.compatible.clear()
+        """Drop what was not used of late: a worker outlives its task."""
+        self.segments.old, self.parts.old = {}, {}
 
     def _joins(self, left: str, right: str) -> bool:
         """Whether ``left`` then ``right`` is the encoding of their concatenation.
@@ -142,54 +152,56 @@ class Encoder:
                 start = i
         yield segment[start:]
 
-    def _part(self, part: str) -> tuple[int, ...]:
-        found = self.parts.get(part)
-        if found is None:
-            found = self._by_prefix_table(part)
-            if len(self.parts) >= _MAX_CACHED:
-                self.parts.clear()
-            if len(part) <= 200:
-                self.parts[part] = found
-        return found
-
     def _by_prefix_table(self, part: str) -> tuple[int, ...]:
-        last: list[str] = []
-        compatible = self.compatible
-        if len(compatible) > 2 * _MAX_CACHED:
-            compatible.clear()
-        matches = self.automaton.iter(part)
-        end, token = next(matches, (len(part), ""))
-        for i in range(len(part)):
-            chosen = part[i]  # a character outside the vocabulary stands alone
-            while end == i:
-                before = i - len(token)
-                if before < 0:
-                    ok = True
-                else:
-                    pair = (last[before], token)
-                    ok = compatible.get(pair)
-                    if ok is None:
-                        ok = compatible[pair] = self._joins(*pair)
-                if ok:
-                    chosen = token
-                    while end == i:
-                        end, token = next(matches, (len(part), ""))
-                    break
-                end, token = next(matches, (len(part), ""))
-            last.append(chosen)
+        """Last tokens of all prefixes, then the ids backwards.
+
+        A character outside the vocabulary stands alone, as ``_OTHER`` plus its code point.
+        """
+        if part in self.vocab.split:
+            return (self.vocab.ids[part],)
+        last: list[int] = []
+        sizes: list[int] = []
+        add, add_size, known = last.append, sizes.append, self.compatible
+        if len(known) > 4 * _MAX_CACHED:
+            known.clear()
+        done = 0  # prefixes whose last token is found
+        for end, (token, size) in self.automaton.iter(part):
+            if end < done:
+                continue
+            while done < end:
+                add(_OTHER + ord(part[done]))
+                add_size(1)
+                done += 1
+            before = end - size
+            if before >= 0:
+                key = last[before] << 20 | token
+                fits = known.get(key)
+                if fits is None:
+                    fits = known[key] = self._joins(self._piece(last[before]), self.vocab.pieces[token])
+                if not fits:
+                    continue
+            add(token)
+            add_size(size)
+            done += 1
+        for c in part[done:]:
+            add(_OTHER + ord(c))
+            add_size(1)
         ids: list[int] = []
-        i, known, byte_ids = len(part) - 1, self.vocab.ids, self.vocab.byte_ids
+        i, byte_ids = len(part) - 1, self.vocab.byte_ids
         while i >= 0:
             token = last[i]
-            found = known.get(token)
-            if found is not None:
-                ids.append(found)
+            if token < _OTHER:
+                ids.append(token)
             elif byte_ids:
-                ids.extend(byte_ids[b] for b in reversed(token.encode()))
+                ids.extend(byte_ids[b] for b in reversed(chr(token - _OTHER).encode()))
             else:
                 ids.append(self.vocab.unknown)
-            i -= len(token)
-        return tuple(reversed(ids))
+            i -= sizes[i]
+        ids.reverse()
+        return tuple(ids)
+
+    def _piece(self, token: int) -> str:
+        return self.vocab.pieces[token] if token < _OTHER else chr(token - _OTHER)
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
