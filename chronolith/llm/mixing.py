@@ -1,11 +1,15 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Each source's documents are shuffled (by a hash of the id) into one stream of words that
-is cut in blocks of equal size.  Slot ``i`` of the schedule draws the point
-``frac(i * golden ratio)``, in exact 64-bit arithmetic; mapped through the cumulative
-targets it names a source, and the slot takes that source's next block.  Golden-ratio
-points leave every source within a few slots of its share at any moment, so the mix is
-even in every prefix, and a rerun gives the same mix.
+is cut in blocks of equal size, the last one shorter.  A source's quota is the number of
+slots that reach its target, whole blocks in stream order, pass after pass; its last slot
+takes only the words still due, so every source gives its target to the word.  Slot ``i``
+of the schedule draws the point ``frac(i * golden ratio)``, in exact 64-bit arithmetic;
+mapped through the cumulative quotas it names a source, and the slot takes that source's
+next block.  Draws beyond a source's quota, a few for each source, go in order to the
+sources that are short of theirs.  Golden-ratio points leave every source within a few
+slots of its share at any moment, so the mix is even in every prefix, and a rerun gives the
+same mix.
 
 Targets: the sources, by code point and null last, weigh as told; they share a multiple
 of all words; no target exceeds a multiple of its source's words, the excess is shared
@@ -50,9 +54,20 @@ class Plan:
     block_words: int
     most: float
 
+    @property
+    def wanted(self) -> list[int]:
+        """Words that each source gives: its target, at least one where it has a target and words."""
+        return [min(int(self.most * s.words), max(1, round(s.target))) if s.target > 0 else 0 for s in self.sources]
+
+    @property
+    def quotas(self) -> list[int]:
+        """Slots of each source: all blocks for each whole pass, and those that the rest of its words begins in."""
+        size = self.block_words
+        return [w // s.words * -(-s.words // size) + -(-(w % s.words) // size) if w else 0 for w, s in zip(self.wanted, self.sources, strict=True)]
+
     @property
     def slots(self) -> int:
-        return round(sum(s.target for s in self.sources) / self.block_words)
+        return sum(self.quotas)
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], total: float, most: float) -> list[float]:
@@ -95,50 +110,68 @@ def source_table(spark: SparkSession, p: Plan) -> DataFrame:
 
 
 def schedule(spark: SparkSession, p: Plan) -> DataFrame:
-    """The mix: rows (slot, source_index, rank, block).
+    """The mix: rows (slot, source_index, rank, block, upto).
 
-    Ranks count a source's slots.  Tasks first count the sources of their own slots, the
-    counts are summed in order, and the same slots are made again with ranks.
+    Ranks count a source's slots; a slot takes the words of its block that are before
+    ``upto`` in the source's stream.  Tasks first count the sources of their own slots, the
+    counts are summed in order, and the same slots are made again with ranks.  Slots drawn
+    beyond a quota, a few for each source, are collected and handed to the sources that
+    are short of as many.
     """
     n, sources = p.slots, len(p.sources)
-    total = sum(s.target for s in p.sources)
-    edges = np.array([min(int(x * 2.0**64), 2**64 - 1) for x in np.cumsum([s.target for s in p.sources]) / total], np.uint64) if total else np.zeros(0, np.uint64)
-    if sources:
-        edges[np.flatnonzero(np.array([s.target for s in p.sources]) > 0)[-1:]] = np.uint64(2**64 - 1)
-    blocks = np.array([max(1, -(-s.words // p.block_words)) for s in p.sources], np.int64)
-    most = np.array([int(p.most * b) for b in blocks], np.int64)
+    quota, wanted, words = (np.array(x, np.int64) for x in (p.quotas, p.wanted, [s.words for s in p.sources]))
+    edges = np.array([min((c << 64) // n, 2**64 - 1) for c in np.cumsum(quota).tolist()] if n else [], np.uint64)
+    blocks = np.maximum(1, -(-words // p.block_words))
     tasks = spark.range(0, -(-n // _SLOTS_PER_TASK), 1, max(1, min(partitions(spark.range(1)), -(-n // _SLOTS_PER_TASK)))).withColumnRenamed("id", "task")
 
-    def drawn(task: int) -> tuple[np.ndarray, np.ndarray]:
-        slots = np.arange(task * _SLOTS_PER_TASK, min(n, (task + 1) * _SLOTS_PER_TASK), dtype=np.uint64)
-        return slots, np.minimum(np.searchsorted(edges, slots * np.uint64(GOLDEN), "right"), sources - 1)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for task in batch.column(0).to_pylist():
-                found, k = np.unique(drawn(task)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), task, np.int64)), pa.array(found.astype(np.int32)), pa.array(k.astype(np.int64))], ["task", "source_index", "n"])
-
-    counts = tasks.mapInArrow(count, "task long, source_index int, n long")
-    before = F.sum("n").over(Window.partitionBy("source_index").orderBy("task")) - F.col("n")
-    starts = counts.withColumn("before", before).groupBy("task").agg(F.collect_list(F.struct("source_index", "before")).alias("starts"))
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                slots, at = drawn(row["task"])
-                first = np.zeros(sources, np.int64)
-                for s in row["starts"]:
-                    first[s["source_index"]] = s["before"]
-                order = np.argsort(at, kind="stable")
-                run = np.diff(np.flatnonzero(np.r_[True, np.diff(at[order]) != 0, True])) if len(order) else np.zeros(0, np.int64)
-                within = np.empty(len(at), np.int64)
-                within[order] = np.arange(len(at)) - np.repeat(np.cumsum(run) - run, run)
-                ranks = first[at] + within
-                ok = ranks < most[at]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (slots[ok].astype(np.int64), at[ok].astype(np.int32), ranks[ok], (ranks % blocks[at])[ok])], ["slot", "source_index", "rank", "block"])
-
-    return starts.mapInArrow(rank, "slot long, source_index int, rank long, block long")
+    def ranked(given: np.ndarray, to: np.ndarray, over: bool) -> tuple[DataFrame, DataFrame]:
+        """Slots by task and source, and the slots with ranks, or only those ``over`` a quota; the ``given`` slots go to other sources."""
+
+        def drawn(task: int) -> tuple[np.ndarray, np.ndarray]:
+            low, high = task * _SLOTS_PER_TASK, min(n, (task + 1) * _SLOTS_PER_TASK)
+            slots = np.arange(low, high, dtype=np.uint64)
+            at = np.minimum(np.searchsorted(edges, slots * np.uint64(GOLDEN), "right"), sources - 1)
+            i, j = np.searchsorted(given, [low, high])
+            at[given[i:j] - low] = to[i:j]
+            return slots.astype(np.int64), at
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for task in batch.column(0).to_pylist():
+                    found, k = np.unique(drawn(task)[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), task, np.int64)), pa.array(found.astype(np.int32)), pa.array(k.astype(np.int64))], ["task", "source_index", "n"])
+
+        def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    slots, at = drawn(row["task"])
+                    first = np.zeros(sources, np.int64)
+                    for s in row["starts"]:
+                        first[s["source_index"]] = s["before"]
+                    order = np.argsort(at, kind="stable")
+                    run = np.diff(np.flatnonzero(np.r_[True, np.diff(at[order]) != 0, True])) if len(order) else np.zeros(0, np.int64)
+                    within = np.empty(len(at), np.int64)
+                    within[order] = np.arange(len(at)) - np.repeat(np.cumsum(run) - run, run)
+                    ranks = first[at] + within
+                    block = ranks % blocks[at]
+                    upto = np.minimum(np.minimum((block + 1) * p.block_words, words[at]), wanted[at] - ranks // blocks[at] * words[at])
+                    ok = (ranks >= quota[at]) == over
+                    yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (slots, at.astype(np.int32), ranks, block, upto)], ["slot", "source_index", "rank", "block", "upto"])
+
+        counts = tasks.mapInArrow(count, "task long, source_index int, n long")
+        before = F.sum("n").over(Window.partitionBy("source_index").orderBy("task")) - F.col("n")
+        starts = counts.withColumn("before", before).groupBy("task").agg(F.collect_list(F.struct("source_index", "before")).alias("starts"))
+        return counts, starts.mapInArrow(rank, "slot long, source_index int, rank long, block long, upto long")
+
+    none = np.zeros(0, np.int64)
+    counts, extra = ranked(none, none, True)
+    had = np.zeros(sources, np.int64)
+    for r in counts.groupBy("source_index").agg(F.sum("n").alias("n")).collect():
+        had[r["source_index"]] = r["n"]
+    short = np.repeat(np.arange(sources), np.maximum(0, quota - had))
+    given = np.array(sorted(r["slot"] for r in extra.select("slot").collect()), np.int64) if len(short) else none
+    # in golden-ratio order too, so that no source's come together
+    return ranked(given, short[np.argsort(np.arange(len(short), dtype=np.uint64) * np.uint64(GOLDEN), kind="stable")], False)[1]
 
 
 def streams(docs: DataFrame, p: Plan, seed: int = 0, carry: Sequence[str] = ()) -> DataFrame:
@@ -172,6 +205,11 @@ def pieces(placed: DataFrame, p: Plan) -> DataFrame:
     return cut.withColumn("word", low - F.col("start")).withColumn("words", F.when(F.col("block").isNull(), F.lit(0)).otherwise(high - low).cast("long"))
 
 
+def _taken() -> Column:
+    """Words of a piece that its slot takes."""
+    return F.greatest(F.lit(0), F.least("words", F.col("upto") - F.col("start") - F.col("word")))
+
+
 def sized(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     return docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), *carry)
 
@@ -186,7 +224,7 @@ def mix(docs: DataFrame, p: Plan | None = None, carry: Sequence[str] = (), **opt
     sizes = checkpointed(sized(docs, carry))
     p = p or plan(sizes, **options)
     placed = streams(sizes, p, carry=carry)
-    taken = pieces(placed, p).join(schedule(docs.sparkSession, p).hint("merge"), ["source_index", "block"])
+    taken = pieces(placed, p).join(schedule(docs.sparkSession, p).hint("merge"), ["source_index", "block"]).withColumn("words", _taken()).where("words > 0")
     return p, placed, taken.select("slot", "rank", "doc_id", "source_index", "bucket", "place", "size", "word", "words", *carry)
 
 
@@ -198,6 +236,6 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     joined = cut.join(schedule(docs.sparkSession, p).hint("merge"), ["source_index", "block"], "left")
     return (
         joined.groupBy("source_index", "bucket", "place", "doc_id", "size", "source_size", "target")
-        .agg(F.sum(F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0)).alias("taken"))
+        .agg(F.sum(F.when(F.col("slot").isNotNull(), _taken()).otherwise(0)).alias("taken"))
         .select("doc_id", "size", "source_size", "target", "taken")
     )

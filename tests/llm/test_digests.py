@@ -204,6 +204,23 @@ def test_op6(spark, sf):
         assert sorted(first) == sorted(mixing.taken_words(d.repartition(3)).collect())
 
 
+def test_small_sources_give_their_targets(spark):
+    """Full blocks of 256 words for a few large sources, and many sources below a block."""
+    sizes = {f"big{i}": 20_000 for i in range(3)} | {f"tiny{i:03}": (3, 40, 150, 300)[i % 4] for i in range(200)}
+    rows = [(i, "w " * n, "en", name, 1) for i, (name, n) in enumerate(sizes.items())]
+    docs = docs_of(spark, rows)
+    for share in (1.5, 0.01):
+        got = mixing.taken_words(docs, least_slots=1, share=share).collect()
+        assert all(r["taken"] == max(1, round(r["target"])) for r in got)
+        p, _, mix = mixing.mix(docs, least_slots=1, share=share)
+        mixed = mix.collect()
+        assert p.block_words == 256 and sorted({r["slot"] for r in mixed}) == list(range(p.slots))
+        taken = defaultdict(int)
+        for r in mixed:
+            taken[r["doc_id"]] += r["words"]
+        assert taken == {r["doc_id"]: r["taken"] for r in got}
+
+
 def test_schedule_is_even(spark):
     p = mixing.Plan(tuple(mixing.Source(i, str(i), 10_000_000, t) for i, t in enumerate((300_000.0, 100_000.0, 0.0, 200_000.0))), 10, 2.0)
     rows = mixing.schedule(spark, p).orderBy("slot").collect()
