@@ -11,12 +11,18 @@ The trigram models are counted on a bounded sample of labelled texts (``SAMPLE``
 language, chosen by a hash of the id).  The other three come from all rows at hand, by
 grouped aggregation of the probabilities that the text alone gives: no label is read.
 
+Beside the trained languages there is a background class, for which all trigram buckets are
+equally likely.  It takes part in all evidence as a language does, so a text that is unlike
+every trained language (in another one, or gibberish) is not accepted.  A close relative of a
+trained language can still be taken for it.
+
 The text's likelihood is tempered: more than ``EFFECTIVE`` trigrams count as so many,
-because trigrams of a text are not independent.
+because trigrams of a text are not independent.  Texts too short for a trigram count as a
+word between separators.
 
 Defined results: a text without letters or digits gives no evidence; a row whose best
-language has a probability below ``ACCEPT``, or that has no text evidence at all, is not
-accepted (its language is still named).  Null hosts, suffixes and declarations give no
+language has a probability below ``ACCEPT``, against the other languages and the background,
+or that has no text evidence at all, is not accepted (its best language is still named).  Null hosts, suffixes and declarations give no
 evidence.  Ties go to the first language in order of name.
 """
 
@@ -27,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,8 +90,12 @@ class Model:
     table: np.ndarray
 
     def likelihoods(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Tempered log likelihoods, a row for each text, and the trigrams of each text."""
-        out = np.zeros((len(texts), len(self.languages)))
+        """Tempered log likelihoods of the languages and, last, the background, a row for each text, and the trigrams of each text."""
+        short = pc.less(pc.fill_null(pc.binary_length(texts), 0), 3)
+        if pc.any(short).as_py():
+            space = pa.scalar(" ", texts.type)
+            texts = pc.if_else(short, pc.binary_join_element_wise(space, pc.fill_null(texts, ""), space, pa.scalar("", texts.type)), texts)
+        out = np.zeros((len(texts), len(self.languages) + 1))
         counts = np.zeros(len(texts), np.int64)
         for i, j in blocks(texts, 1 << 20):
             found, bounds = trigrams(texts[i:j])
@@ -93,6 +104,7 @@ class Model:
                 total = np.zeros(len(found) + 1)
                 np.cumsum(row[found], out=total[1:])
                 out[i:j, k] = np.diff(total[bounds])
+        out[:, -1] = counts * -np.log(BUCKETS)
         return out * (np.minimum(counts, EFFECTIVE) / np.maximum(counts, 1))[:, None], counts
 
 
@@ -188,9 +200,9 @@ def fuse(rows: DataFrame, model: Model) -> DataFrame:
     ``text`` goes; the other columns stay.  Hosts are joined by their key, never broadcast:
     their number has no bound.
     """
-    n = len(model.languages)
-    if not n:
+    if not model.languages:
         return rows.drop("text").withColumns({"language": F.lit(None).cast("string"), "probability": F.lit(0.0), "accepted": F.lit(False)})
+    n = len(model.languages) + 1  # the background is the last
     seen = checkpointed(text_evidence(rows, model)).withColumn("p", F.when(F.col("grams") > 0, _softmax(F.col("ll"))))
     clear = seen.where("grams > 0")
     names = F.array(*map(F.lit, model.languages))
@@ -219,7 +231,7 @@ def fuse(rows: DataFrame, model: Model) -> DataFrame:
     prior = F.transform(F.coalesce("host_prior", F.array(*map(F.lit, world))), lambda x: F.log(x))
     logs = F.zip_with(F.zip_with("ll", prior, lambda a, b: a + b), F.zip_with(F.coalesce("suffix_ll", none), F.coalesce("declared_ll", none), lambda a, b: a + b), lambda a, b: a + b)
     fused = joined.withColumn("p", _softmax(logs))
-    best = F.array_max("p")
+    best = F.array_max(F.slice("p", 1, n - 1))
     return fused.withColumns(
         {"language": F.element_at(names, F.array_position("p", best).cast("int")), "probability": best, "accepted": (F.col("grams") > 0) & (best >= ACCEPT)}
     ).select(*[c for c in rows.columns if c != "text"], "language", "probability", "accepted")

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from chronolith.llm import bm25, fingerprints, language_id, quality, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -95,6 +96,35 @@ def test_language_trained_on_half(spark, sf):
     assert np.mean([r["language"] == r["lang"] for r in got]) > 0.95
 
 
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+]
+
+
+def test_text_in_no_trained_language_is_not_accepted(spark, sf):
+    rnd = random.Random(1)
+    noise = [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 10))) for _ in range(80)) for _ in range(300)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    sources = sorted(r["source"] for r in docs.select("source").distinct().collect())
+    planted = spark.createDataFrame([(-1 - k, t, None, sources[k % len(sources)], len(t)) for k, t in enumerate(FOREIGN + noise)], docs.schema)
+    both = docs.unionByName(planted)
+    got = {r["doc_id"]: r for r in language_id.identify_documents(both, language_id.train(both)).collect()}
+    clean = [got[r["doc_id"]] for r in docs.where(F.length("text") > 40).collect()]
+    assert not any(got[-1 - k]["accepted"] for k in range(len(FOREIGN + noise)))
+    assert np.mean([r["accepted"] for r in clean]) > 0.99
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, both, sf).collect()}
+    assert min(kept) >= 0 and kept == {i for i, r in got.items() if r["accepted"]}
+
+
+def test_short_texts_have_trigrams():
+    model = language_id.Model(("en",), np.zeros((1, language_id.BUCKETS), np.float32))
+    for kind in (pa.string(), pa.large_string()):
+        assert model.likelihoods(pa.array(["ab", "a", "é", "", None, "!", "abc"], kind))[1].tolist() == [2, 1, 2, 0, 0, 0, 1]
+
+
 def test_trigrams_like_brute_force():
     texts = ["Ab c!", None, "", "  ", "éa", "x", "ab"]
     got, bounds = language_id.trigrams(pa.array(texts))
