@@ -108,14 +108,16 @@ class Model:
         return out * (np.minimum(counts, EFFECTIVE) / np.maximum(counts, 1))[:, None], counts
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Count trigram models on at most ``sample`` texts of each language.
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, max_languages: int = 200) -> Model:
+    """Count trigram models on at most ``sample`` texts of each language.  More than ``max_languages`` labels raise an error.
 
     The chosen ids, a number bounded by ``sample`` and the languages, are broadcast; the
     counts, of a fixed size for each language, are summed on the driver.
     """
     ids = labelled.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
-    names = sorted(r["label"] for r in ids.select("label").distinct().limit(200).collect())
+    names = sorted(r["label"] for r in ids.select("label").distinct().limit(max_languages + 1).collect())
+    if len(names) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     chosen = None
     for name in names:
         part = ids.where(F.col("label") == name).orderBy(F.xxhash64("id"), "id").limit(sample)

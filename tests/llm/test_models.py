@@ -119,6 +119,13 @@ def test_text_in_no_trained_language_is_not_accepted(spark, sf):
     assert min(kept) >= 0 and kept == {i for i, r in got.items() if r["accepted"]}
 
 
+def test_no_label_is_dropped(spark):
+    docs = spark.range(201).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id) AS lang")
+    with pytest.raises(ValueError, match="more than 200 languages"):
+        language_id.train(docs)
+    assert len(language_id.train(docs.limit(5), max_languages=5).languages) == 5
+
+
 def test_short_texts_have_trigrams():
     model = language_id.Model(("en",), np.zeros((1, language_id.BUCKETS), np.float32))
     for kind in (pa.string(), pa.large_string()):
