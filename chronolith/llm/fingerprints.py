@@ -134,11 +134,13 @@ def edit_study(docs: DataFrame) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, width: int = WIDTH) -> DataFrame:
     """Rows (id, class_id): classes of texts joined by verified near copies.
 
-    Fingerprints are cut in bands; texts that share a band with the smallest id of that band
-    are candidates (a band of many texts costs its size, not its square), and the exact
-    Jaccard similarity of their shingles decides.  A class's name is its smallest id.  Copies
-    of a text are one from the start.  Empty texts and null ids stay alone; a pair is missed
-    if it shares no band.
+    Fingerprints are cut in bands; texts that share a band are candidates, and the exact
+    Jaccard similarity of their shingles decides.  First each text is verified against the
+    smallest id of each of its bands; components of these links are computed; members of a
+    band that are still in different components are paired and verified too.  So a band of
+    near copies costs its size, and only one of texts just below the threshold of each other
+    costs pairs.  A class's name is its smallest id.  Copies of a text are one from the start.
+    Empty texts and null ids stay alone; a pair is missed only if it shares no band.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     keyed = rows.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
@@ -164,8 +166,21 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     left, right = rows.toDF("x", "tx"), rows.toDF("y", "ty")
-    links = pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
+
     full = keyed.join(marks.where(F.col("fingerprint") != none).select("id").distinct(), "id", "left_semi")
     copies = full.join(first.select("sha", F.col("id").alias("y")), "sha").where("id <> y").select(F.col("id").alias("x"), "y")
-    found = connected_components(links.unionByName(copies))
-    return rows.select("id").distinct().join(found.toDF("id", "class_id"), "id", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
+    parts = connected_components(linked(pairs).unionByName(copies)).toDF("id", "part")
+    member = cut.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    split = member.groupBy("b", "key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("b", "key")
+    open_ = checkpointed(member.join(split, ["b", "key"], "left_semi"))
+    one, other = (open_.select("b", "key", F.col("id").alias(c), F.col("part").alias(f"p{c}")) for c in "xy")
+    rest = one.join(other, ["b", "key"]).where("px < py").select("x", "y").distinct()
+    tried = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    more = linked(checkpointed(rest.join(tried, ["x", "y"], "left_anti")))
+    ends = more.join(parts.toDF("x", "px"), "x", "left").join(parts.toDF("y", "py"), "y", "left")
+    bridges = connected_components(ends.select(F.coalesce("px", "x").alias("u"), F.coalesce("py", "y").alias("v"))).toDF("part", "class_id")
+    found = rows.select("id").distinct().join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    return found.join(bridges, "part", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "part").alias("class_id"))

@@ -198,3 +198,27 @@ def test_near_duplicate_classes(spark):
     rows = [(1, " ".join(base)), (9, " ".join(base)), (4, " ".join(near)), (5, " ".join(f"v{rnd.randrange(5000)}" for _ in range(300))), (6, None), (7, ""), (8, "two words"), (3, "two words")]
     got = {r["doc_id"]: r["class_id"] for r in fingerprints.near_duplicate_classes(table(spark, rows)).collect()}
     assert got == {1: 1, 9: 1, 4: 1, 5: 5, 6: 6, 7: 7, 8: 3, 3: 3}
+
+
+def test_near_duplicate_classes_of_boilerplate(spark):
+    """Texts just below the threshold of each other, and planted pairs above it, against all pairs that share a band."""
+    rnd = random.Random(5)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    shared = [word() for _ in range(204)]
+    texts = [[word() for _ in range(30)] for _ in range(240)]
+    for k in range(0, 160, 2):
+        texts[k + 1][:11] = texts[k][:11]
+    rnd.shuffle(texts)
+    texts = [shared + t for t in texts]
+    marks = fingerprints.signatures(pa.array([" ".join(t) for t in texts])).reshape(len(texts), fingerprints.BANDS, -1)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (marks[i] == marks[j]).all(axis=1).any() and 100 * both >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.near_duplicate_classes(table(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    wrong = [i for i in range(len(texts)) if got[i] != label[i]]
+    assert len(set(label)) < 200 and not wrong, f"{len(wrong)} of {len(texts)} texts in another class"
