@@ -12,7 +12,8 @@ language, chosen by a hash of the id).  The other three come from all rows at ha
 grouped aggregation of the probabilities that the text alone gives: no label is read.
 
 Beside the trained languages there is a background class, for which all trigram buckets are
-equally likely.  It takes part in all evidence as a language does, so a text that is unlike
+equally likely; trigrams with a digit, of no language, are as likely for it as for the mean
+language.  It takes part in all evidence as a language does, so a text that is unlike
 every trained language (in another one, or gibberish) is not accepted.  A close relative of a
 trained language can still be taken for it.
 
@@ -66,6 +67,11 @@ def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the byte trigrams of all texts that are not all separators, and where each text's begin and end."""
+    return _trigrams(texts)[:2]
+
+
+def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``trigrams``, and which of them have a digit."""
     raw, bounds = _buffer(texts)
     folded = _FOLD[raw]
     n = max(len(raw) - 2, 0)
@@ -80,7 +86,8 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(len(raw) + 1, np.int64)
     np.cumsum(use, out=total[1 : n + 1])
     total[n + 1 :] = total[n]
-    return buckets[use], total[bounds]
+    digit = (folded >= 0x30) & (folded <= 0x39)
+    return buckets[use], total[bounds], (digit[:n] | digit[1 : n + 1] | digit[2 : n + 2])[use]
 
 
 @dataclass(frozen=True)
@@ -97,14 +104,16 @@ class Model:
             texts = pc.if_else(short, pc.binary_join_element_wise(space, pc.fill_null(texts, ""), space, pa.scalar("", texts.type)), texts)
         out = np.zeros((len(texts), len(self.languages) + 1))
         counts = np.zeros(len(texts), np.int64)
+        mean = self.table.mean(axis=0)
         for i, j in blocks(texts, 1 << 20):
-            found, bounds = trigrams(texts[i:j])
+            found, bounds, digit = _trigrams(texts[i:j])
             counts[i:j] = np.diff(bounds)
+            total = np.zeros(len(found) + 1)
             for k, row in enumerate(self.table):
-                total = np.zeros(len(found) + 1)
                 np.cumsum(row[found], out=total[1:])
                 out[i:j, k] = np.diff(total[bounds])
-        out[:, -1] = counts * -np.log(BUCKETS)
+            np.cumsum(np.where(digit, mean[found], -np.log(BUCKETS)), out=total[1:])
+            out[i:j, -1] = np.diff(total[bounds])
         return out * (np.minimum(counts, EFFECTIVE) / np.maximum(counts, 1))[:, None], counts
 
 

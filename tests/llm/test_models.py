@@ -126,6 +126,13 @@ def test_no_label_is_dropped(spark):
     assert len(language_id.train(docs.limit(5), max_languages=5).languages) == 5
 
 
+def test_digits_do_not_reject_a_text(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(1, "Anerre haing whinti, 25.102.19.31 aneand. +1 (208) 555-1177 4284896609045836"), (2, "44.144.126.223 +1 (906) 555-7738 Th anatble, thndstnd 4992883091964172 to ererthing helyou.")]
+    got = language_id.identify_documents(spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, source string"), language_id.train(docs)).collect()
+    assert len(got) == 2 and all(r["accepted"] and r["language"] == "en" for r in got)
+
+
 def test_short_texts_have_trigrams():
     model = language_id.Model(("en",), np.zeros((1, language_id.BUCKETS), np.float32))
     for kind in (pa.string(), pa.large_string()):
