@@ -23,7 +23,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from urllib.parse import quote
 
@@ -143,7 +143,11 @@ class Found:
 
 
 class BadRecord(ValueError):
-    pass
+    """What is wrong with a record or gzip member; ``found`` are intact records of a damaged member."""
+
+    def __init__(self, why: str, found: Sequence[Found] = ()):
+        super().__init__(why)
+        self.found = found
 
 
 def _checked(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -184,17 +188,24 @@ def _payload(headers: dict[str, str], body: bytes) -> bytes | None:
     return payload
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """The content of the gzip member at ``at``, where it ends, and what is wrong with it if it is only a part."""
     engine, out = zlib.decompressobj(31), []
     while not engine.eof:
         if at >= len(data):
-            raise BadRecord("gzip member is cut off")
+            return b"".join(out), at, "gzip member is cut off"
+        before = engine.copy()
         try:
             out.append(engine.decompress(data[at : at + _READ]))
         except zlib.error as e:
-            raise BadRecord(f"gzip: {e}") from None
+            for k in range(at, at + _READ):  # what comes before the damage, byte by byte
+                try:
+                    out.append(before.decompress(data[k : k + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), at, f"gzip: {e}"
         at += _READ
-    return b"".join(out), min(at, len(data)) - len(engine.unused_data)
+    return b"".join(out), min(at, len(data)) - len(engine.unused_data), None
 
 
 def _records_at(data: bytes, at: int) -> tuple[list[Found], int]:
@@ -202,10 +213,13 @@ def _records_at(data: bytes, at: int) -> tuple[list[Found], int]:
     if not data.startswith(GZIP_MAGIC, at):
         headers, body, end = _checked(data, at)
         return [Found(at, end - at, "record", headers, _payload(headers, body))], end
-    inner, end = _member(data, at)
-    if not _VERSION_LINE.match(inner):
+    inner, end, wrong = _member(data, at)
+    found = [Found(at, end - at, x.kind, x.headers, x.payload, x.reason) for x in salvage(inner)] if _VERSION_LINE.search(inner) else []
+    if wrong:
+        raise BadRecord(wrong, [x for x in found if x.kind == "record"])
+    if not any(x.kind == "record" for x in found):
         raise BadRecord("the member holds no record")
-    return [Found(at, end - at, x.kind, x.headers, x.payload, x.reason) for x in salvage(inner)], end
+    return found, end
 
 
 def _next_start(data: bytes, at: int) -> int:
@@ -221,6 +235,11 @@ def salvage(data: bytes) -> Iterator[Found]:
         try:
             found, end = _records_at(data, at)
         except BadRecord as e:
+            if e.found:
+                if gap is not None:
+                    yield Found(gap, at - gap, "gap", reason=why)
+                    gap = None
+                yield from e.found
             if gap is None:
                 gap, why = at, str(e)
             at = _next_start(data, at + 1)

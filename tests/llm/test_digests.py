@@ -129,6 +129,21 @@ def test_salvage():
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_inside_a_member():
+    """Intact records of a damaged member of several records are found."""
+    rnd = random.Random(2)
+    plain = [warc.record(i, "u", rnd.randbytes(3000), None) for i in range(6)]
+    whole, other = gzip.compress(b"".join(plain), mtime=0), gzip.compress(warc.record(9, "u", b"last", None), mtime=0)
+    kinds = lambda data: [x.kind for x in warc.salvage(bytes(data))]
+    assert kinds(whole + other) == ["record"] * 7
+    assert kinds(whole[: len(whole) * 3 // 4]) == ["record"] * 4 + ["gap"]
+    bad = bytearray(whole)
+    bad[-8] ^= 0xFF
+    assert kinds(bad + other) == ["record"] * 6 + ["gap", "record"]
+    first = gzip.compress(b"XXXX" + b"".join(plain)[4:], mtime=0)
+    assert kinds(first) == ["gap"] + ["record"] * 5
+
+
 def brute_op5(rows):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
     out = []
