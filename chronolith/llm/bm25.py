@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, shared_dir
+from .common import checkpointed, shared_dir, streamed
 from .words import Words, blocks
 
 K1, B = 1.2, 0.75
@@ -109,7 +109,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
     path = f"{shared_dir(docs.sparkSession)}/bm25-{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
-    rows.mapInArrow(run, _INDEX).write.parquet(path)
+    rows.mapInArrow(streamed(run), _INDEX).write.parquet(path)
     return docs.sparkSession.read.schema(_INDEX).parquet(path)
 
 
@@ -121,7 +121,7 @@ def term_counts(index: DataFrame) -> DataFrame:
             for terms, counts in zip(batch.column(0), batch.column(1), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms.as_buffer(), np.int64)), pa.array(np.frombuffer(counts.as_buffer(), np.int32))], ["term", "df"])
 
-    return index.select("terms", "counts").mapInArrow(run, "term long, df int").groupBy("term").agg(F.sum("df").alias("df"))
+    return index.select("terms", "counts").mapInArrow(streamed(run), "term long, df int").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def statistics(index: DataFrame) -> tuple[int, float]:
@@ -132,7 +132,7 @@ def statistics(index: DataFrame) -> tuple[int, float]:
             lengths = [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([sum(len(x) for x in lengths)], pa.int64()), pa.array([sum(int(x.sum()) for x in lengths)], pa.int64())], ["n", "words"])
 
-    r = index.select("lengths").mapInArrow(run, "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+    r = index.select("lengths").mapInArrow(streamed(run), "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
     return (r["n"] or 0), (r["words"] or 0) / max(r["n"] or 0, 1)
 
 
@@ -145,7 +145,7 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 term, row, _ = _distinct_terms(Words(batch.column(1)[i:j], lower=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(row)), pa.array(term.view(np.int64))], ["query", "term"])
 
-    return queries.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL").mapInArrow(run, "query long, term long").distinct()
+    return queries.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL").mapInArrow(streamed(run), "query long, term long").distinct()
 
 
 class Shard:
@@ -258,7 +258,7 @@ def _one_block(index: DataFrame, asked: pa.Table, floors: dict[int, float], mean
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["query", "doc_id", "score"])
 
-    return index.drop("part").mapInArrow(run, "query long, doc_id long, score double")
+    return index.drop("part").mapInArrow(streamed(run), "query long, doc_id long, score double")
 
 
 def hundredth(id_col: Column) -> Column:

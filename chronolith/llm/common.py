@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,13 +48,80 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+#: What this Python worker keeps from one task to the next, by name.
+_kept: dict[str, Any] = {}
+_LIBC = ctypes.CDLL(None)
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """An object that outlives its task in a Python worker, until a task runs there that does not ask to keep it."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def _begin(keep: str | None) -> None:
+    others = [name for name in _kept if name != keep]
+    for name in others:
+        del _kept[name]
+    if others:
+        gc.collect()
+
+
+def hand_back() -> None:
+    """Give freed memory back to the system; Arrow's pool and malloc (glibc's) otherwise stay as large as they ever were."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def streamed(run: Callable, keep: str | None = None) -> Callable:
+    """A function for ``mapInArrow`` that leaves its Python worker small."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(keep)
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return task
+
+
+def grouped(run: Callable) -> Callable:
+    """A function for ``applyInArrow`` of one group that leaves its Python worker small."""
+
+    def group(table: pa.Table) -> pa.Table:
+        _begin(None)
+        try:
+            return run(table)
+        finally:
+            hand_back()
+
+    return group
+
+
+def cogrouped(run: Callable) -> Callable:
+    """As ``grouped``, for two groups."""
+
+    def group(left: pa.Table, right: pa.Table) -> pa.Table:
+        _begin(None)
+        try:
+            return run(left, right)
+        finally:
+            hand_back()
+
+    return group
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
+    """The folder that driver and executors share; a local one only where none is set and all run on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if found:
@@ -58,6 +130,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="chronolith-"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")

@@ -8,7 +8,8 @@ entries, estimates the Jaccard similarity of the shingle sets.
 
 Defined results: null and empty texts, and texts of white space only, have the
 fingerprint of the empty set, which is like only itself.  Rows with equal ids are
-neighbours in the order of their texts, null texts first.
+neighbours in the order of their texts, null texts first; an empty table gives an empty
+result; other columns are not read.  A very long text is held whole by one task.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import with_chunk
-from .common import checkpointed
+from .chunks import CHUNK, with_chunk
+from .common import checkpointed, grouped, streamed
 from .graph import connected_components
 from .words import Words, blocks, distinct_sets, shingles
 
@@ -81,7 +82,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(to_text(signatures(batch.column(1), permutations, width)), pa.string())], ["id", "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(streamed(run), f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
 
 
 def edited(text: str, other: str) -> str:
@@ -93,14 +94,14 @@ def edited(text: str, other: str) -> str:
 def with_next_in_chunk(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Documents by chunk, and for each chunk the document that follows its last one.
 
-    The order is by descending id, from the last on to the first.  Only the largest id of
-    each chunk goes to the driver, one per chunk.
+    The order is by descending id (null last), then by text (null first), from the last on to
+    the first.  Only the largest id of each chunk goes to the driver, one per chunk.
     """
-    chunked = with_chunk(docs, id_col)
-    tops = sorted(((r["chunk"], r["top"]) for r in chunked.groupBy("chunk").agg(F.max(id_col).alias("top")).collect()), key=lambda r: r[0])
-    follow = docs.sparkSession.createDataFrame([(tops[k][0], tops[(k + 1) % len(tops)][0], tops[k][1]) for k in range(len(tops))], "_from int, _to int, _top long")
-    firsts = chunked.join(F.broadcast(follow), (F.col("chunk") == F.col("_from")) & F.col(id_col).eqNullSafe(F.col("_top")))
-    chosen = firsts.groupBy("_to", id_col).agg(F.min(F.struct("text")).alias("t")).select(F.col("_to").alias("chunk"), id_col, "t.text")
+    chunked, _ = with_chunk(docs, id_col, descending=True)
+    tops = sorted(((r[CHUNK], r["top"]) for r in chunked.groupBy(CHUNK).agg(F.max(id_col).alias("top")).collect()), key=lambda r: r[0])
+    follow = docs.sparkSession.createDataFrame([(tops[k][0], tops[k - 1][0], tops[k][1]) for k in range(len(tops))], "_from int, _to int, _top long")
+    firsts = chunked.join(F.broadcast(follow), (F.col(CHUNK) == F.col("_from")) & F.col(id_col).eqNullSafe(F.col("_top")))
+    chosen = firsts.groupBy("_to", id_col).agg(F.min(F.struct("text")).alias("t")).select(F.col("_to").alias(CHUNK), id_col, "t.text")
     return chunked, chosen
 
 
@@ -108,7 +109,7 @@ def edit_study(docs: DataFrame) -> DataFrame:
     """Fingerprint every text (doc_id, text), its edited text, and compare them and the next document's."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunked, following = with_next_in_chunk(rows)
-    both = chunked.select("chunk", "doc_id", "text", F.lit(False).alias("beyond")).unionByName(following.select("chunk", "doc_id", "text", F.lit(True).alias("beyond")))
+    both = chunked.select(CHUNK, "doc_id", "text", F.lit(False).alias("beyond")).unionByName(following.select(CHUNK, "doc_id", "text", F.lit(True).alias("beyond")))
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["beyond"].to_pylist(), table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True), key=lambda r: (r[0], r[1] is None, -(r[1] or 0), r[2] is not None, r[2] or ""))
@@ -128,7 +129,7 @@ def edit_study(docs: DataFrame) -> DataFrame:
             }
         )
 
-    return both.groupBy("chunk").applyInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return both.groupBy(CHUNK).applyInArrow(grouped(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, width: int = WIDTH) -> DataFrame:
@@ -168,7 +169,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     left, right = rows.toDF("x", "tx"), rows.toDF("y", "ty")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
+        return pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty").mapInArrow(streamed(run), "x long, y long")
 
     full = keyed.join(marks.where(F.col("fingerprint") != none).select("id").distinct(), "id", "left_semi")
     copies = full.join(first.select("sha", F.col("id").alias("y")), "sha").where("id <> y").select(F.col("id").alias("x"), "y")

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, grouped, streamed
 from .words import blocks
 
 BUCKETS = 1 << 14
@@ -151,7 +151,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         total = sum(np.frombuffer(x, np.int64) for x in table["counts"].to_pylist())
         return pa.table({"label": pa.array([table["label"][0].as_py()]), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    summed = {r["label"]: np.frombuffer(bytes(r["counts"]), np.int64) for r in picked.mapInArrow(count, "label string, counts binary").groupBy("label").applyInArrow(add, "label string, counts binary").collect()}
+    summed = {r["label"]: np.frombuffer(bytes(r["counts"]), np.int64) for r in picked.mapInArrow(streamed(count), "label string, counts binary").groupBy("label").applyInArrow(grouped(add), "label string, counts binary").collect()}
     rows = [np.log((summed.get(n, np.zeros(BUCKETS, np.int64)) + _SMOOTH) / (summed.get(n, np.zeros(1, np.int64)).sum() + _SMOOTH * BUCKETS)) for n in names]
     return Model(tuple(names), np.array(rows, np.float32))
 
@@ -191,7 +191,7 @@ def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * ll.shape[1], pa.int32()), pa.array(ll.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), values, pa.array(counts)], [*kept, "ll", "grams"])
 
-    return rows.select(*kept, "text").mapInArrow(run, schema)
+    return rows.select(*kept, "text").mapInArrow(streamed(run), schema)
 
 
 def _softmax(logs: Column) -> Column:

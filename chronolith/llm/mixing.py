@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .chunks import CHUNKS_PER_PARTITION, partitions
-from .common import WORD, checkpointed
+from .common import WORD, checkpointed, streamed
 
 #: 2**64 divided by the golden ratio, made odd.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -158,10 +158,10 @@ def schedule(spark: SparkSession, p: Plan) -> DataFrame:
                     ok = (ranks >= quota[at]) == over
                     yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (slots, at.astype(np.int32), ranks, block, upto)], ["slot", "source_index", "rank", "block", "upto"])
 
-        counts = tasks.mapInArrow(count, "task long, source_index int, n long")
+        counts = tasks.mapInArrow(streamed(count), "task long, source_index int, n long")
         before = F.sum("n").over(Window.partitionBy("source_index").orderBy("task")) - F.col("n")
         starts = counts.withColumn("before", before).groupBy("task").agg(F.collect_list(F.struct("source_index", "before")).alias("starts"))
-        return counts, starts.mapInArrow(rank, "slot long, source_index int, rank long, block long, upto long")
+        return counts, starts.mapInArrow(streamed(rank), "slot long, source_index int, rank long, block long, upto long")
 
     none = np.zeros(0, np.int64)
     counts, extra = ranked(none, none, True)

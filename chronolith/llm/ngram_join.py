@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import partitions
-from .common import broadcast_if_small, checkpointed
+from .common import broadcast_if_small, checkpointed, grouped, streamed
 from .graph import connected_components
 from .words import Words, blocks, mix, shingles
 
@@ -151,7 +151,7 @@ def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, Dat
             m = int(often.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(count[often]), pa.array(found[new[often]].view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names)
 
-    both = checkpointed(docs.mapInArrow(run, schema))
+    both = checkpointed(docs.mapInArrow(streamed(run), schema))
     return both.where("kind = 0").select("doc_id", "n", "class", "check"), both.where("kind = 2").select("class", "sketch"), both.where("kind = 1").select(F.col("class").alias("shingle"), "n")
 
 
@@ -263,8 +263,8 @@ def candidate_lists(docs: DataFrame, width: int, order: Order, bound: int, num:
         if held:
             yield out()
 
-    sent = docs.select("text").mapInArrow(send, "bucket int, keys binary, classes binary, sizes binary, places binary")
-    found = sent.groupBy("bucket").applyInArrow(_scan(num, den), "list long, class long, size int, place int")
+    sent = docs.select("text").mapInArrow(streamed(send), "bucket int, keys binary, classes binary, sizes binary, places binary")
+    found = sent.groupBy("bucket").applyInArrow(grouped(_scan(num, den)), "list long, class long, size int, place int")
     return found.groupBy("list", "class", "size").agg(F.min("place").alias("place"))
 
 
@@ -293,7 +293,7 @@ def possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataF
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct()
     known = sketches.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("sketch").alias("sketch"))
     rows = pairs.join(known.toDF("x", "a"), "x").join(known.toDF("y", "b"), "y").select("x", "y", "sx", "sy", "a", "b")
-    return checkpointed(rows.mapInArrow(run, "x long, y long").distinct())
+    return checkpointed(rows.mapInArrow(streamed(run), "x long, y long").distinct())
 
 
 def verified(pairs: DataFrame, rows: DataFrame, holders: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -319,7 +319,7 @@ def verified(pairs: DataFrame, rows: DataFrame, holders: DataFrame, width: int,
     sets = checkpointed(_sets_of(rows, broadcast_if_small(holders.join(wanted, "class", "left_semi")), width))
     left = sets.select(F.col("class").alias("x"), F.col("shingles").alias("sx"))
     right = sets.select(F.col("class").alias("y"), F.col("shingles").alias("sy"))
-    return checkpointed(pairs.join(left, "x").join(right, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long").distinct())
+    return checkpointed(pairs.join(left, "x").join(right, "y").select("x", "y", "sx", "sy").mapInArrow(streamed(run), "x long, y long").distinct())
 
 
 def component_table(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -375,4 +375,4 @@ def _sets_of(rows: DataFrame, holders: DataFrame, width: int) -> DataFrame:
             raw = [sets.values[sets.starts[d] : sets.ends[d]].tobytes() for d in mine]
             yield pa.RecordBatch.from_arrays([pa.array(sets.classes[mine]), pa.array(raw, pa.binary())], ["class", "shingles"])
 
-    return rows.join(holders, "doc_id").select("class", "text").mapInArrow(run, "class long, shingles binary")
+    return rows.join(holders, "doc_id").select("class", "text").mapInArrow(streamed(run), "class long, shingles binary")

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import streamed
 from .words import Words, blocks, mix
 
 BITS = 17
@@ -93,7 +94,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> l
                     ["doc_id", "quality", "ids", "shares"],
                 )
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, ids binary, shares binary")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(streamed(run), "doc_id long, quality int, ids binary, shares binary")
     got = rows.toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("ids", "ascending")])
     return [(q, np.frombuffer(i, np.int32), np.frombuffer(s, np.float32)) for q, i, s in zip(got["quality"].to_pylist(), got["ids"].to_pylist(), got["shares"].to_pylist(), strict=True)]
 
@@ -147,5 +148,5 @@ def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> D
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1)))], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(streamed(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bm25, chat, fingerprints, language_id, mixing, ngram_join, quality, sentencepiece_bpe, substring_dedup, warc
-from .common import table
+from .common import streamed, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -38,7 +38,7 @@ def sentencepiece_digests(docs: DataFrame, model: bytes) -> DataFrame:
         finally:
             coder.release()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(streamed(run, sentencepiece_bpe.KEPT), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

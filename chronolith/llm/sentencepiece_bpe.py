@@ -19,20 +19,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
-import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import kept, streamed
+
 SPACE = "▁"
 #: Entries of each generation of a cache; longer keys are not kept.
 _MAX_CACHED, _LONG = 150_000, 200
 #: Above all ids.
 _OTHER = 1 << 20
+#: The name under which workers keep their encoders.
+KEPT = "sentencepiece"
 
 
 class Vocabulary:
@@ -116,7 +118,7 @@ class Encoder:
             self.surface[i] = b""
         self.surface[v.unknown] = v.unknown_surface
         self.parts = _Cache(self._by_prefix_table)
-        self.segments = _Cache(lambda segment: tuple(chain.from_iterable([self.parts[p] for p in self._cut(segment)])))
+        self.segments = _Cache(self._by_parts)
 
     def release(self) -> None:
         """Drop what was not used of late: a worker outlives its task."""
@@ -152,6 +154,12 @@ class Encoder:
                 start = i
         yield segment[start:]
 
+    def _by_parts(self, segment: str) -> tuple[int, ...]:
+        parts = list(self._cut(segment))
+        if len(parts) == 1:  # the segment itself will be cached
+            return self._by_prefix_table(segment)
+        return tuple(chain.from_iterable([self.parts[p] for p in parts]))
+
     def _by_prefix_table(self, part: str) -> tuple[int, ...]:
         """Last tokens of all prefixes, then the ids backwards.
 
@@ -162,7 +170,7 @@ class Encoder:
         last: list[int] = []
         sizes: list[int] = []
         add, add_size, known = last.append, sizes.append, self.compatible
-        if len(known) > 4 * _MAX_CACHED:
+        if len(known) > 2 * _MAX_CACHED:
             known.clear()
         done = 0  # prefixes whose last token is found
         for end, (token, size) in self.automaton.iter(part):
@@ -259,9 +267,13 @@ class Encoder:
         return self.decode_bytes(ids).decode()
 
 
-@lru_cache(maxsize=2)
 def encoder(model: bytes) -> Encoder:
-    return Encoder(model)
+    """The worker's encoder of a model; it holds one model at a time, and tasks of other operators drop it."""
+    found = kept(KEPT, dict)
+    if model not in found:
+        found.clear()
+        found[model] = Encoder(model)
+    return found[model]
 
 
 def read_model(path: str) -> bytes:
@@ -283,7 +295,7 @@ def _mapped(df: DataFrame, model: bytes, column: str, out: str, kind: T.DataType
         finally:
             coder.release()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(streamed(run, KEPT), schema)
 
 
 def encode(df: DataFrame, model: bytes, text_col: str = "text", out: str = "ids") -> DataFrame:
@@ -294,7 +306,3 @@ def encode(df: DataFrame, model: bytes, text_col: str = "text", out: str = "ids"
 def decode(df: DataFrame, model: bytes, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text of each id array.  A null array decodes to the empty string."""
     return _mapped(df, model, ids_col, out, T.StringType(), pa.string(), lambda coder, ids: coder.decode(ids or []))
-
-
-def library(path: str) -> sentencepiece.SentencePieceProcessor:
-    return sentencepiece.SentencePieceProcessor(model_file=path)

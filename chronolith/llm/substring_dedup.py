@@ -22,7 +22,8 @@ steps), and a key that a third of all rows share costs one entry per chunk.
 
 Defined results: null and empty texts have no words; documents of fewer than ``WINDOW``
 words keep all; rows with equal ids are documents of their own, ordered by text; a null
-id comes first.
+id comes first; an empty table gives an empty one.  A very long text is a chunk alone, held
+whole by one task.
 """
 
 from __future__ import annotations
@@ -32,13 +33,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .chunks import partitions, with_chunk
+from .chunks import CHUNK, partitions, with_chunk
+from .common import cogrouped, grouped
 from .words import Words, mix, window_hashes, window_rows
 
 WINDOW = 20
 #: Words of a minimizer.
 SEED_WORDS = 8
+#: Bytes of text for each bucket of keys, so that what a task judges stays small however large the table is.
+BUCKET_BYTES = 16 << 20
 _U = np.uint64
 _BASE = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0x2545F4914F6CDD1D)
 #: Fingerprint of several paths.
@@ -207,6 +212,10 @@ def _ordered(table: pa.Table, id_col: str, text_col: str) -> pa.Table:
     return table.take(pc.sort_indices(table, sort_keys=[(id_col, "ascending"), (text_col, "ascending")], null_placement="at_start"))
 
 
+def _texts(table: pa.Table, id_col: str, text_col: str) -> pa.Array:
+    return _ordered(table.select([id_col, text_col]), id_col, text_col)[text_col].combine_chunks()
+
+
 class Verdict:
     """What the answers to a chunk say of its paths."""
 
@@ -278,25 +287,24 @@ def _removed_words(p: Paths, repeated: np.ndarray) -> np.ndarray:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """All columns of ``docs`` plus ``n_words``, ``n_removed``, ``spans`` (removed words as [start, end)) and ``kept``.
 
-    ``kept`` is the words that stay, joined by one space.  Columns of these names, or named
-    ``chunk``, are replaced or dropped.
+    ``kept`` is the words that stay, joined by one space.  Columns of these names are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "spans", "kept", "chunk")
-    chunked = with_chunk(docs, id_col, text_col)
-    buckets = partitions(docs)
+    docs = docs.drop("n_words", "n_removed", "spans", "kept")
+    chunked, size = with_chunk(docs, id_col, text_col)
+    buckets = max(partitions(docs), -(-size // BUCKET_BYTES))
     seed_words = min(SEED_WORDS, window)
-    of = lambda table: Paths(_ordered(table.select([id_col, text_col]), id_col, text_col)[text_col].combine_chunks(), window, seed_words)
+    of = lambda table: Paths(_texts(table, id_col, text_col), window, seed_words)
     nothing = np.zeros(0, np.uint64)
 
     def send_units(table: pa.Table) -> pa.Table:
         p = of(table)
         keys, prints, first = p.units()
-        return _messages(_bucket(keys, buckets), table["chunk"][0].as_py(), keys, prints, p.starts[p.run[first]].astype(np.uint32) if len(first) else nothing)
+        return _messages(_bucket(keys, buckets), table[CHUNK][0].as_py(), keys, prints, p.starts[p.run[first]].astype(np.uint32) if len(first) else nothing)
 
     def send_edges_and_spans(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _messages(nothing.astype(np.int64), 0)
-        p, chunk = of(table), table["chunk"][0].as_py()
+        p, chunk = of(table), table[CHUNK][0].as_py()
         if not len(p.run):
             return _messages(nothing.astype(np.int64), chunk)
         branching = np.sort(_answers(answers, _BRANCHING)[0])
@@ -315,7 +323,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return _answer([])
         if not table.num_rows:
             return _judge_edges(messages)
-        words = Words(_ordered(table.select([id_col, text_col]), id_col, text_col)[text_col].combine_chunks())
+        words = Words(_texts(table, id_col, text_col))
         digest, wrong = Digests(words), []
         for chunk, places, prints in zip(messages["chunk"].to_pylist(), messages["a"].to_pylist(), messages["b"].to_pylist(), strict=True):
             places = np.frombuffer(places, np.uint64).reshape(-1, 3).astype(np.int64)
@@ -331,7 +339,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         table = _ordered(table, id_col, text_col)
         texts = table[text_col].combine_chunks()
         p = Paths(texts, window, seed_words)
-        gone = _removed_words(p, _repeated(p, table["chunk"][0].as_py(), answers))
+        gone = _removed_words(p, _repeated(p, table[CHUNK][0].as_py(), answers))
         offsets = p.words.offsets
         spans, kept, n_gone = [], [], []
         for d, text in enumerate(texts):
@@ -346,13 +354,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 words = [w for i, j in stay for w in words[i:j]]
             kept.append(b" ".join(words).decode())
             n_gone.append(n)
-        out = table.drop_columns("chunk")
+        out = table.drop_columns([CHUNK])
         out = out.append_column("n_words", pa.array(np.diff(offsets), pa.int64())).append_column("n_removed", pa.array(n_gone, pa.int64()))
         return out.append_column("spans", pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))).append_column("kept", pa.array(kept, pa.string()))
 
-    by_chunk = chunked.groupBy("chunk")
-    units = by_chunk.applyInArrow(send_units, _MESSAGE).groupBy("receiver").applyInArrow(_judge_units, _ANSWER)
-    sent = by_chunk.cogroup(units.groupBy("chunk")).applyInArrow(send_edges_and_spans, _MESSAGE)
-    rest = by_chunk.cogroup(sent.groupBy("receiver")).applyInArrow(judge, _ANSWER)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return by_chunk.cogroup(units.unionByName(rest).groupBy("chunk")).applyInArrow(resolve, f"{fields}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
+    by_chunk = chunked.groupBy(CHUNK)
+    units = by_chunk.applyInArrow(grouped(send_units), _MESSAGE).groupBy("receiver").applyInArrow(grouped(_judge_units), _ANSWER)
+    sent = by_chunk.cogroup(units.groupBy("chunk")).applyInArrow(cogrouped(send_edges_and_spans), _MESSAGE)
+    rest = by_chunk.cogroup(sent.groupBy("receiver")).applyInArrow(cogrouped(judge), _ANSWER)
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.StringType())]
+    return by_chunk.cogroup(units.unionByName(rest).groupBy("chunk")).applyInArrow(cogrouped(resolve), T.StructType([*docs.schema.fields, *added]))

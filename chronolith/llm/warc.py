@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import make_dir, shared_dir
+from .common import make_dir, shared_dir, streamed
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -127,7 +127,7 @@ def write(pages: DataFrame, directory: str, id_col: str = "page_id", url_col: st
         close()
         yield pa.RecordBatch.from_arrays([pa.array([state["n"]], pa.int64())], ["n"])
 
-    return int(rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    return int(rows.mapInArrow(streamed(run), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
 
 @dataclass
@@ -270,7 +270,7 @@ def read(spark: SparkSession, directory: str, pattern: str = "*.warc*") -> DataF
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RECORDS.types, strict=True)], schema=_RECORDS)
 
-    return files.mapInArrow(run, RECORDS)
+    return files.mapInArrow(streamed(run), RECORDS)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

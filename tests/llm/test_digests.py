@@ -8,6 +8,7 @@ import re
 from collections import defaultdict
 
 import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def sha(x):
 def library():
     import public_tokenizers
 
-    return sentencepiece_bpe.library(public_tokenizers.path(queries.PIECE_MODEL))
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(queries.PIECE_MODEL))
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +57,7 @@ def test_encode_like_library(parts):
     import public_tokenizers
 
     coder = sentencepiece_bpe.encoder(queries.piece_model())
-    sp = sentencepiece_bpe.library(public_tokenizers.path(queries.PIECE_MODEL))
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(queries.PIECE_MODEL))
     text = "".join(parts).encode("utf-8", "ignore").decode()
     ids = sp.encode(text)
     assert coder.encode(text) == ids
