@@ -29,10 +29,6 @@ def contains(start: Column, end: Column, t: Column) -> Column:
     return (start <= t) & (end > t)
 
 
-def overlaps(start: Column, end: Column, low: Column, high: Column) -> Column:
-    return (start < high) & (end > low)
-
-
 def ticks(column: str, kind: T.DataType) -> Column:
     """Days or microseconds since 1970 as a long."""
     if isinstance(kind, T.DateType):

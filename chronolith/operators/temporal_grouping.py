@@ -2,7 +2,8 @@
 
 The interval points are the distinct ends of the rows that pass the filter and overlap
 the range, clipped to it; between two consecutive points the set of valid rows is
-constant.
+constant.  A row whose period has a null end, or one that is not after its start, is valid
+at no instant and left out.
 
 Physical forms, all of equi-joins and aggregations with a partial step before the shuffle:
 
@@ -30,12 +31,13 @@ from pyspark.sql.window import Window
 from ..functions.aggregates import Aggregate
 from ..functions.periods import Instant, constant, ticks
 from ..plans.catalog import Catalog, Period, TemporalTable
+from .settings import WithOptions
 
 #: A segment is ``index * _LEVELS + level``.
 _LEVELS = 64
 
 
-class TemporalGrouping:
+class TemporalGrouping(WithOptions):
     """``TemporalGrouping(table).overlaps(period, s, e).where(...).agg(...).df()``.
 
     The result has the columns of ``by`` if any, ``period_start``, ``period_end`` and the
@@ -49,6 +51,7 @@ class TemporalGrouping:
             table = catalog.table(table)
         if not table.is_temporal:
             raise ValueError(f"table {table.name} has no period")
+        super().__init__()
         self.table = table
         self._period: Period | None = None
         self._range: tuple[Instant | None, Instant | None] = (None, None)
@@ -103,7 +106,7 @@ class TemporalGrouping:
         kind = self.table.schema[self._period.start].dataType
         start, end = F.col(self._period.start), F.col(self._period.end)
         low, high = (None if x is None else constant(x, kind) for x in self._range)
-        df = self.table.df()
+        df = self.table.df().where(start < end)
         if low is not None:
             df = df.where(end > low)
         if high is not None:
@@ -114,7 +117,7 @@ class TemporalGrouping:
         e = end if high is None else F.least(end, high)
         return df.select(*self._by, b.alias("_b"), e.alias("_e"), *(a.value().alias(f"_v{k}") for k, a in enumerate(self._aggregates)))
 
-    def df(self) -> DataFrame:
+    def _build(self) -> DataFrame:
         rows = self.rows()
         kind = self.table.schema[self._period.start].dataType
         by = [f"_k{i}" for i in range(len(self._by))]
@@ -242,11 +245,40 @@ def _by_segments(rows: DataFrame, intervals: DataFrame, by: Sequence[str], kind:
 
 
 def coalesced(result: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Join neighbouring intervals whose other columns are equal."""
+    """Join neighbouring intervals whose other columns are equal.
+
+    Intervals are compared within windows of time; only the first and the last of each window,
+    a few for each shuffle partition and key, are compared across windows.
+    """
     values = [c for c in result.columns if c not in (*by, "period_start", "period_end")]
-    order = Window.partitionBy(*by).orderBy("period_start")
-    same = F.lag("period_end").over(order).eqNullSafe(F.col("period_start"))
-    for c in values:
-        same = same & F.lag(c).over(order).eqNullSafe(F.col(c))
-    marked = result.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
-    return marked.groupBy(*by, "_run", *values).agg(F.min("period_start").alias("period_start"), F.max("period_end").alias("period_end")).select(*by, "period_start", "period_end", *values)
+    kind = result.schema["period_start"].dataType
+    timed = result.withColumn("_i", ticks("period_start", kind))
+    low, high = timed.agg(F.min("_i"), F.max("_i")).first()
+    if low is None:
+        return result.select(*by, "period_start", "period_end", *values)
+    width = (high - low) // int(result.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+    timed = timed.withColumn("_w", F.floor((F.col("_i") - F.lit(low)) / F.lit(width)).cast("long"))
+
+    def follows(end: Column, before: Sequence[Column], start: Column, after: Sequence[Column]) -> Column:
+        same = end.eqNullSafe(start)
+        for x, y in zip(before, after, strict=True):
+            same = same & x.eqNullSafe(y)
+        return same
+
+    columns = [F.col(c) for c in values]
+    inside = Window.partitionBy(*by, "_w").orderBy("period_start")
+    joins = follows(F.lag("period_end").over(inside), [F.lag(c).over(inside) for c in values], F.col("period_start"), columns)
+    marked = timed.withColumn("_new", F.when(joins, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(inside))
+    part = F.struct("period_start", "period_end", *values)
+    edges = marked.groupBy(*by, "_w").agg(F.min_by(part, "period_start").alias("first"), F.max_by(part, "period_start").alias("last"), F.sum("_new").alias("runs"))
+    along = Window.partitionBy(*by).orderBy("_w")
+    last, first = F.lag("last").over(along), F.col("first")
+    edges = edges.withColumn("_joins", F.when(follows(last["period_end"], [last[c] for c in values], first["period_start"], [first[c] for c in values]), 1).otherwise(0))
+    # runs that began before this window, less one where its first interval goes on with the last of them
+    before = F.sum(F.col("runs") - F.col("_joins")).over(along) - F.col("runs")
+    edges = edges.select(*(F.col(c).alias(f"{c}_w") for c in by), F.col("_w").alias("_w_w"), before.alias("_before"))
+    on = F.col("_w") == F.col("_w_w")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}_w"))
+    runs = marked.join(edges, on).withColumn("_run", F.col("_before") + F.col("_run"))
+    return runs.groupBy(*by, "_run", *values).agg(F.min("period_start").alias("period_start"), F.max("period_end").alias("period_end")).select(*by, "period_start", "period_end", *values)

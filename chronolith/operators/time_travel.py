@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import Aggregate
 from ..functions.periods import Instant, constant, contains
 from ..plans.catalog import Catalog, Period, TemporalTable, parse_type
+from .settings import WithOptions
 
 
-class TimeTravel:
+class TimeTravel(WithOptions):
     """``TimeTravel(table).contains(period, t).where(...).select(...) | .agg(...) .df()``.
 
     A lazy plan: both bounds of the period and the filter reach the scan, and only the
@@ -27,13 +25,13 @@ class TimeTravel:
             table = catalog.table(table)
         if not table.is_temporal:
             raise ValueError(f"table {table.name} has no period")
+        super().__init__()
         self.table = table
         self._period: Period | None = None
         self._at: Instant | None = None
         self._where: list[str] = []
         self._items: list[tuple[str, str, str | None]] = []
         self._aggregates: list[Aggregate] = []
-        self._options: dict[str, str] = {}
 
     def contains(self, period: str, t: Instant) -> TimeTravel:
         self._period = self.table.period(period)
@@ -53,32 +51,6 @@ class TimeTravel:
         self._aggregates.extend(aggregates)
         return self
 
-    def option(self, key: str, value: str) -> TimeTravel:
-        """A session setting that holds while ``df`` builds the query, and for ``run``."""
-        self._options[key] = value
-        return self
-
-    @property
-    def run_options(self) -> dict[str, str]:
-        return dict(self._options)
-
-    def run(self) -> list:
-        """Collect the result under the options (an aggregate, or a few rows)."""
-        with self._settings():
-            return self._build().collect()
-
-    @contextmanager
-    def _settings(self) -> Iterator[None]:
-        conf = self.table.df().sparkSession.conf
-        before = {k: conf.get(k, None) for k in self._options}
-        for key, value in self._options.items():
-            conf.set(key, value)
-        try:
-            yield
-        finally:
-            for key, value in before.items():
-                conf.unset(key) if value is None else conf.set(key, value)
-
     def rows(self) -> DataFrame:
         if self._period is None or self._at is None:
             raise ValueError("contains is missing")
@@ -89,10 +61,6 @@ class TimeTravel:
             df = df.where(predicate)
         return df
 
-    def df(self) -> DataFrame:
-        with self._settings():
-            return self._build()
-
     def _build(self) -> DataFrame:
         if self._items and self._aggregates:
             raise ValueError("either all items of a query are aggregates or none")

@@ -90,14 +90,25 @@ class TemporalTable:
             raise ValueError(f"table {self.name} has no period {name}")
         return self.periods[name]
 
+    def loads(self, spark: SparkSession) -> list[str]:
+        """The folders of all finished loads: those below the table's location, whoever loaded them, and those told of in ``paths``."""
+        found = set(self.paths)
+        if self.location is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.location}/load-*/_SUCCESS")
+            files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            done = (str(f.getPath().getParent().getName()) for f in files.globStatus(path) or ())
+            found |= {f"{self.location}/{name}" for name in done if not name.endswith("-rejected")}
+        return sorted(found)
+
     def df(self, spark: SparkSession | None = None) -> DataFrame:
         """All rows: the union of the loads, or the source."""
         if self.source is not None:
             return self.source
         spark = spark or SparkSession.active()
-        if not self.paths:
+        paths = self.loads(spark)
+        if not paths:
             return spark.createDataFrame([], self.schema)
-        return spark.read.schema(self.schema).format(self.storage_format).load(self.paths)
+        return spark.read.schema(self.schema).format(self.storage_format).load(paths)
 
     def count(self, spark: SparkSession | None = None) -> int:
         return self.df(spark).count()

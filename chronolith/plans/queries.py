@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.aggregates import Aggregate, avg_, count_, max_, min_, sum_
 from ..operators.temporal_grouping import TemporalGrouping, coalesced
 from ..operators.time_travel import TimeTravel
-from ..operators.timeline import event_counts, period_report
+from ..operators.timeline import build_index, event_counts, period_report
 from ..sources.clean import clean_trips
 from ..sources.csv_load import Load
 from .catalog import Catalog, TableBuilder, TemporalTable
@@ -168,7 +168,7 @@ def _grouping(
         return plain((q.by(by) if by else q).df())
 
     QUERIES[name] = query
-    ORACLES[name] = plain_sql(grouping_sql(*source, period[1], period[2], low, high, items_sql(aggregates), where, by, gaps), _kinds(aggregates, source[1] == "bih"))
+    ORACLES[name] = plain_sql(grouping_sql(*source, period[1], period[2], low, high, items_sql(aggregates), where, by, gaps), _kinds(aggregates, source[1] != "ev"))
 
 
 _B = (bih, ("active", "active_begin", "active_end"), (BIH, "bih"))
@@ -187,7 +187,15 @@ _travel("tt_empty", *_B, D(1970, 1, 1), [sum_("price", MONEY, "sum_price"), max_
 _travel("tt_empty_select", *_B, D(1970, 1, 1), select=[("order_key", "order_key", None)])
 _travel("tt_string", *_B, D(1999, 5, 5), select=[("return_flag", "return_flag", None), ("line_status", "line_status", None), ("line_number", "line_number", None)], where="line_number = 7")
 _travel("tt_ts_select", *_V, TS(2024, 1, 10), select=[("event_id", "event_id", None), ("user_id", "user_id", None), ("event_type", "event_type", None), ("value", "value", None), ("valid_from", "valid_from", None), ("valid_to", "valid_to", None)])
-_travel("tt_ts_agg", *_V, TS(2024, 1, 10), [max_("value", MONEY, "max_value"), sum_("value", MONEY, "sum_value")], where="user_id % 2 = 0")
+_travel("tt_ts_agg", *_V, TS(2024, 1, 10), [max_("value", MONEY, "max_value"), sum_("value", MONEY, "sum_value")], where="event_type <> 'view' AND value > 5")
+_travel(
+    "tt_expression_language", *_B, D(1997, 7, 1),
+    select=[
+        ("order_key", "order_key", None), ("line_number", "line_number", None), ("CAST(price AS double) / CAST(quantity AS double)", "unit_price", "double"), ("power(CAST(quantity AS double), 2)", "squared", "double"),
+        ("CASE WHEN return_flag = 'N' THEN 'kept' ELSE 'returned' END", "state", None), ("order_key % 7 + line_number * 2 - 1", "mixed", None),
+    ],
+    where="quantity BETWEEN 10 AND 12 AND regexp_extract(return_flag, '[AR]', 0) = '' AND (price > 20000 OR discount <= 0.02)",
+)
 _travel("tt_second_period", *_SHIP, D(1996, 2, 12), [sum_("price", MONEY, "sum_price"), count_("1", "n")])
 
 _SUM_QUANTITY = [sum_("quantity", MONEY, "sum_quantity")]
@@ -208,10 +216,10 @@ _grouping("tg_where", *_B, D(1996, 2, 12), D(1996, 3, 12), [sum_("quantity", MON
 _grouping("tg_minmax_whole", *_B, None, None, [min_("price", MONEY, "min_price"), max_("price", MONEY, "max_price"), sum_("quantity", MONEY, "sum_quantity")])
 _grouping("tg_tail", *_B, D(2001, 9, 1), D(2003, 1, 1), [sum_("quantity", MONEY, "sum_quantity"), max_("price", MONEY, "max_price")])
 _grouping("tg_head", *_B, D(1990, 1, 1), D(1995, 2, 1), [sum_("quantity", MONEY, "sum_quantity"), max_("price", MONEY, "max_price")])
-_grouping("tg_gaps", *_B, D(1995, 1, 1), D(2001, 12, 31), [sum_("quantity", MONEY, "sum_quantity"), min_("price", MONEY, "min_price"), count_("price", "n")], where="order_key % 1000 = 7", gaps=True)
-_grouping("tg_no_gaps", *_B, D(1995, 1, 1), D(2001, 12, 31), [sum_("quantity", MONEY, "sum_quantity"), min_("price", MONEY, "min_price")], where="order_key % 1000 = 7")
+_grouping("tg_gaps", *_B, D(1995, 1, 1), D(2001, 12, 31), [sum_("quantity", MONEY, "sum_quantity"), min_("price", MONEY, "min_price"), count_("price", "n")], where="quantity = 1 AND discount = 0.05", gaps=True)
+_grouping("tg_no_gaps", *_B, D(1995, 1, 1), D(2001, 12, 31), [sum_("quantity", MONEY, "sum_quantity"), min_("price", MONEY, "min_price")], where="quantity = 1 AND discount = 0.05")
 _grouping("tg_windows", *_B, D(1995, 1, 1), D(2001, 12, 31), _SUM_QUANTITY, windows=8)
-_grouping("tg_nulls", *_B, _MID, _MID + dt.timedelta(90), [sum_("CASE WHEN line_number <> 3 THEN quantity END", MONEY, "sum_quantity"), max_("CASE WHEN line_number <> 3 THEN price END", MONEY, "max_price"), count_("CASE WHEN line_number <> 3 THEN price END", "n")], where="line_number IN (3, 5) AND order_key % 50 = 1")
+_grouping("tg_nulls", *_B, _MID, _MID + dt.timedelta(90), [sum_("CASE WHEN line_number <> 3 THEN quantity END", MONEY, "sum_quantity"), max_("CASE WHEN line_number <> 3 THEN price END", MONEY, "max_price"), count_("CASE WHEN line_number <> 3 THEN price END", "n")], where="line_number IN (3, 5)")
 _grouping("tg_ts_sum", *_V, TS(2024, 1, 3), TS(2024, 1, 20, 12, 30), [sum_("value", MONEY, "sum_value")])
 _grouping("tg_ts_minmax", *_V, TS(2024, 1, 10), TS(2024, 1, 12), [min_("value", MONEY, "min_value"), max_("value", MONEY, "max_value")])
 _grouping("tg_ts_c1", *_V, TS(2024, 1, 10), TS(2024, 1, 10, 16, 45, 36), [max_("value", MONEY, "a1"), max_("value * 2 - 1", "decimal(12,2)", "a2"), max_("valid_to", "timestamp_ntz", "a3"), min_("valid_from", "timestamp_ntz", "a4"), max_("user_id", "bigint", "a5"), sum_("user_id", "bigint", "a6")])
@@ -237,7 +245,10 @@ ORACLES["tg_coalesced"] = f"""WITH q AS ({ORACLES["tg_minmax_whole"]}),
 def _scratch(spark: SparkSession) -> str:
     import uuid
 
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/chronolith-{uuid.uuid4().hex}"
+    shared, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{shared or tempfile.gettempdir()}/chronolith-{uuid.uuid4().hex}"
 
 
 def _loaded_table(spark: SparkSession) -> tuple[Catalog, TemporalTable, str]:
@@ -278,19 +289,35 @@ QUERIES["load_then_travel"] = load_then_travel
 ORACLES["load_then_travel"] = plain_sql(travel_sql(BIH, "bih", "active_begin", "active_end", D(1996, 2, 12), items_sql([sum_("price", MONEY, "sum_price"), count_("1", "n")]), "return_flag = 'N'"), {"sum_price": "decimal"})
 
 QUERIES["index_events"] = lambda spark, sf_dir: plain(event_counts(bih(spark, sf_dir), "active"))
+QUERIES["index_build"] = lambda spark, sf_dir: plain(build_index(bih(spark, sf_dir), "active", "order_key", "line_number"))
+ORACLES["index_build"] = plain_sql(f"WITH {BIH} SELECT active_begin AS version, 0 AS flag, order_key, line_number FROM bih UNION ALL SELECT active_end, 1, order_key, line_number FROM bih", {"version": "date"})
+
 ORACLES["index_events"] = plain_sql(f"WITH {BIH} SELECT version, flag, count(*) AS rows FROM (SELECT active_begin AS version, 0 AS flag FROM bih UNION ALL SELECT active_end, 1 FROM bih) GROUP BY version, flag", {"version": "date"})
 
 
+def broken(spark: SparkSession, sf_dir: str) -> TemporalTable:
+    """Line items, of which some have a period without end, of no length, or that ends before it starts."""
+    key = F.col("order_key") % 10
+    end = F.when(key == 1, None).when(key == 2, F.col("active_begin")).when(key == 3, F.date_sub("active_begin", 5)).otherwise(F.col("active_end"))
+    return TemporalTable.over("broken", bih_rows(spark, sf_dir).withColumn("active_end", end), active=("active_begin", "active_end"))
+
+
+BROKEN = f"""{BIH}, broken AS (SELECT * REPLACE (CASE order_key % 10 WHEN 1 THEN NULL WHEN 2 THEN active_begin WHEN 3 THEN active_begin - 5 ELSE active_end END AS active_end) FROM bih)"""
+
+
 def validate_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    broken = bih_rows(spark, sf_dir).withColumn("active_end", F.when(F.col("order_key") % 10 == 1, None).when(F.col("order_key") % 10 == 2, F.col("active_begin")).otherwise(F.col("active_end")))
-    return period_report(TemporalTable.over("broken", broken, active=("active_begin", "active_end")), "active")
+    return period_report(broken(spark, sf_dir), "active")
 
 
 QUERIES["validate_periods"] = validate_periods
-ORACLES["validate_periods"] = f"""WITH {BIH}, x AS (SELECT active_begin AS b, CASE WHEN order_key % 10 = 1 THEN NULL WHEN order_key % 10 = 2 THEN active_begin ELSE active_end END AS e FROM bih)
-    SELECT CASE WHEN b IS NULL OR e IS NULL THEN 'null' WHEN b < e THEN 'valid' ELSE 'inverted' END AS state, count(*) AS rows FROM x GROUP BY 1"""
+ORACLES["validate_periods"] = f"""WITH {BROKEN}
+    SELECT CASE WHEN active_begin IS NULL OR active_end IS NULL THEN 'null' WHEN active_begin < active_end THEN 'valid' ELSE 'inverted' END AS state, count(*) AS rows FROM broken GROUP BY 1"""
+
+_BROKEN = (broken, ("active", "active_begin", "active_end"), (BROKEN, "(SELECT * FROM broken WHERE active_begin < active_end)"))
+_grouping("tg_broken", *_BROKEN, None, None, [sum_("quantity", MONEY, "sum_quantity"), max_("price", MONEY, "max_price"), count_("1", "n")], where="line_number = 2", gaps=True)
+_grouping("tg_broken_range", *_BROKEN, _MID, _MID + dt.timedelta(26), [sum_("quantity", MONEY, "sum_quantity"), min_("price", MONEY, "min_price")])
 
-QUERIES["tbl_count"] = lambda spark, sf_dir: bih(spark, sf_dir).df().agg(F.count(F.lit(1)).alias("n"))
+QUERIES["tbl_count"] = lambda spark, sf_dir: spark.createDataFrame([(bih(spark, sf_dir).count(),)], "n long")
 ORACLES["tbl_count"] = "SELECT count(*) AS n FROM lineitem"
 
 

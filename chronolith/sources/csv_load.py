@@ -9,15 +9,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamReader
 
 from ..plans.catalog import Catalog, TemporalTable
 
 #: Option names and their defaults.
 DEFAULTS = {"separator": ",", "quote": '"', "escape": "\\", "has-header-line": "false", "null-string": "null", "timestamp-format": ""}
 
+#: The default form of timestamps: ``yyyy[-/]MM[-/]dd['T'| ]HH:mm:ss``, then a fraction, an offset, or both in any order.
+_TIMESTAMP = r"^\s*(\d{4})[-/]?(\d{2})[-/]?(\d{2})[T ]?(\d{2}:\d{2}:\d{2})(\.\d{1,6})? ?(Z|[+-]\d{2}(?::?\d{2})?)?(\.\d{1,6})?\s*$"
+_OFFSET = r"\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}(:?\d{2})?)$"
+
 
 def typed(column: Column, kind: T.DataType, timestamp_format: str = "") -> Column:
     """A CSV field as a value; text that is not one of the type is an error when the row is read."""
@@ -26,21 +31,22 @@ def typed(column: Column, kind: T.DataType, timestamp_format: str = "") -> Colum
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         if timestamp_format:
             return F.to_timestamp(column, timestamp_format).cast(kind)
-        plain = F.replace(F.replace(column, F.lit("/"), F.lit("-")), F.lit("T"), F.lit(" "))
-        return F.trim(plain).cast(kind)
+        plain = F.trim(F.regexp_replace(column, _TIMESTAMP, "$1-$2-$3 $4$5$7$6"))
+        # with an offset it is an instant, which a column without zone shows in the session's zone
+        return F.when(plain.rlike(_OFFSET), plain.cast("timestamp").cast(kind)).otherwise(plain.cast(kind))
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return column.cast(kind)
     return F.trim(column).cast(kind)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
-    """The typed rows of CSV files; one record per line."""
+def csv_rows(reader: DataFrameReader | DataStreamReader, path: str, schema: T.StructType, **options: str) -> DataFrame:
+    """The typed rows of CSV files, one record per line, read at once or as a stream."""
     conf = DEFAULTS | {k.replace("_", "-"): v for k, v in options.items()}
     if unknown := set(conf) - set(DEFAULTS):
         raise ValueError(f"unknown options {sorted(unknown)}")
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     raw = (
-        spark.read.schema(text)
+        reader.schema(text)
         .option("sep", conf["separator"])
         .option("quote", conf["quote"])
         .option("escape", conf["escape"])
@@ -54,6 +60,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, **options: st
     return raw.select(*(typed(F.col(f"`{f.name}`"), f.dataType, conf["timestamp-format"]).alias(f.name) for f in schema.fields))
 
 
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
+    """The typed rows of CSV files."""
+    return csv_rows(spark.read, path, schema, **options)
+
+
 def bad_period(table: TemporalTable) -> Column:
     """Whether some period of a row has a null end, or one that is not after its start."""
     bad = F.lit(False)
@@ -106,12 +117,16 @@ class Load:
         return append(spark, self._table, rows, self._parallel, self._quarantine)
 
 
-def append(spark: SparkSession, table: TemporalTable, rows: DataFrame, parallel: int = 0, quarantine: bool = False) -> TemporalTable:
-    """Append rows as a new load, clustered by the first period's start."""
-    target = f"{table.location}/load-{uuid.uuid4().hex}"
+def append(spark: SparkSession, table: TemporalTable, rows: DataFrame, parallel: int = 0, quarantine: bool = False, name: str | None = None) -> TemporalTable:
+    """Append rows as a new load, clustered by the first period's start.
+
+    A load with a ``name`` takes the place of one of that name, so that it can be repeated.
+    """
+    target = f"{table.location}/load-{name or uuid.uuid4().hex}"
+    mode = "overwrite" if name else "errorifexists"
     bad = bad_period(table)
     if quarantine:
-        rows.where(bad).write.format(table.storage_format).save(f"{target}-rejected")
+        rows.where(bad).write.format(table.storage_format).mode(mode).save(f"{target}-rejected")
         rows = rows.where(~bad)
     else:
         rows = rows.withColumn("_ok", F.when(bad, F.raise_error(F.lit("a period has a null end, or one that is not after its start"))).otherwise(F.lit(True))).where("_ok").drop("_ok")
@@ -125,6 +140,7 @@ def append(spark: SparkSession, table: TemporalTable, rows: DataFrame, parallel:
     for key, value in table.conf.items():
         if key != "format":
             writer = writer.option(key, value)
-    writer.save(target)
-    table.paths.append(target)
+    writer.mode(mode).save(target)
+    if target not in table.paths:
+        table.paths.append(target)
     return table

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.catalog import TemporalTable
-from ..sources.csv_load import append, typed
+from ..sources.csv_load import append, csv_rows
 
 
-def follow_csv(spark: SparkSession, table: TemporalTable, folder: str, checkpoint: str, separator: str = ",", null_string: str = "null") -> StreamingQuery:
+def follow_csv(spark: SparkSession, table: TemporalTable, folder: str, checkpoint: str, separator: str = ",", null_string: str = "null", **options: str) -> StreamingQuery:
     """Append files as they arrive in a folder, until none is left (``availableNow``); run it again for later ones.
 
-    Rows with a bad period are set aside.  The checkpoint remembers which files were loaded.
+    Rows with a bad period are set aside, malformed values fail the load, as in a batch load,
+    whose options it takes.  The checkpoint remembers which files were loaded; a micro-batch
+    that is replayed writes its load again in the same place.
     """
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in table.schema.fields])
-    rows = spark.readStream.schema(text).option("sep", separator).option("nullValue", null_string).csv(folder)
-    rows = rows.select(*(typed(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in table.schema.fields))
+    rows = csv_rows(spark.readStream, folder, table.schema, separator=separator, null_string=null_string, **options)
+    own = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
-    def load(batch: DataFrame, _: int) -> None:
-        append(batch.sparkSession, table, batch, quarantine=True)
+    def load(batch: DataFrame, number: int) -> None:
+        append(batch.sparkSession, table, batch, quarantine=True, name=f"{own}-{number:010}")
 
     return rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,10 +3,13 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronolith import Catalog, Load, TableBuilder, TimeTravel, cli, sum_
 from chronolith.operators.timeline import build_index, event_counts
 from chronolith.sources.clean import prepare
+from chronolith.sources.csv_load import append, read_csv, typed
 from chronolith.streaming.ingest import follow_csv
 
 
@@ -107,6 +110,46 @@ def test_follow_csv(spark, tmp_path):
     assert sorted(r["id"] for r in t.df(spark).collect()) == [1, 3] and len(t.paths) == 2
 
 
+def test_loads_outlive_the_table_object(spark, tmp_path):
+    catalog = Catalog()
+    catalog.register(builder(tmp_path / "table").build())
+    line = "1,T,n,1,2022-01-01 00:00:00,2022-01-02 00:00:00"
+    Load(catalog).into_table("t").from_path(write(tmp_path / "x.csv", line, line.replace("1,T", "2,T").replace("01-02", "01-01"))).quarantine().execute(spark)
+    again = builder(tmp_path / "table").build()
+    assert [r["id"] for r in again.df(spark).collect()] == [1] and again.paths == []
+
+
+def test_replayed_batch_is_loaded_once(spark, tmp_path):
+    t = builder(tmp_path / "table").build()
+    rows = read_csv(spark, write(tmp_path / "x.csv", "1,T,n,1,2022-01-01 00:00:00,2022-01-02 00:00:00"), t.schema)
+    for _ in range(2):
+        append(spark, t, rows, quarantine=True, name="batch-7")
+    assert t.count(spark) == 1 and len(t.paths) == 1
+
+
+def test_follow_csv_fails_on_malformed_values(spark, tmp_path):
+    t = builder(tmp_path / "table").build()
+    write(tmp_path / "in/a.csv", "id|ok|name|x|b|e", "x|T|n|1|2022-01-01 00:00:00|2022-01-02 00:00:00")
+    with pytest.raises(Exception, match=r"."):
+        follow_csv(spark, t, str(tmp_path / "in"), str(tmp_path / "state"), separator="|", has_header_line="true").awaitTermination()
+    assert t.count(spark) == 0
+
+
+def test_timestamp_forms(spark):
+    """Dates with hyphens, slashes or nothing between; offsets make instants, shown in the session's zone (UTC)."""
+    forms = {
+        "2022-01-01 00:00:00": "00:00:00", "2022/01/01T00:00:00": "00:00:00", "20220101T00:00:00": "00:00:00", "2022010100:00:00": "00:00:00", "2022-01-01T00:00:00+01:00": "-1", "2022-01-01 02:00:00 +02": "00:00:00",
+        "2022-01-01T00:00:00Z": "00:00:00", "2022-01-01T00:00:00Z.5": "00:00:00.500000", "2022-01-01 00:00:00.25": "00:00:00.250000", " 2022-01-01T01:00:00.5+0100 ": "00:00:00.500000", "2022-01-01": "00:00:00",
+    }
+    for kind in (T.TimestampNTZType(), T.TimestampType()):
+        d = spark.createDataFrame([(k,) for k in forms], "x string").select("x", typed(F.col("x"), kind).cast("timestamp_ntz").alias("t"))
+        for r in d.collect():
+            want = forms[r["x"]]
+            assert r["t"] == (dt.datetime(2021, 12, 31, 23) if want == "-1" else dt.datetime.fromisoformat(f"2022-01-01 {want}")), (r, kind)
+    with pytest.raises(Exception, match=r"."):
+        spark.createDataFrame([("2022-01-01T00:00:00 soon",)], "x string").select(typed(F.col("x"), T.TimestampNTZType())).collect()
+
+
 def test_prepare(spark, tmp_path):
     rows = [(1, dt.datetime(2022, 1, 1), dt.datetime(2022, 1, 2), None), (2, dt.datetime(2021, 1, 1), dt.datetime(2021, 1, 2), 1.0), (3, dt.datetime(2022, 5, 2), dt.datetime(2022, 5, 1), 1.0), (4, dt.datetime(2022, 12, 31, 23), dt.datetime(2023, 1, 1, 1), 2.0)]
     spark.createDataFrame(rows, "id int, a timestamp_ntz, b timestamp_ntz, x double").write.parquet(str(tmp_path / "in"))

@@ -12,7 +12,7 @@ from chronolith.operators.metrics import observed
 from chronolith.plans import queries
 
 DAY0 = dt.date(2020, 1, 1)
-day = lambda k: DAY0 + dt.timedelta(k)
+day = lambda k: None if k is None else DAY0 + dt.timedelta(k)
 at = lambda k: dt.datetime(2020, 1, 1) + dt.timedelta(microseconds=k)
 
 
@@ -206,3 +206,53 @@ def test_one_scan_for_sums_two_with_extremes(spark, sf):
         df.collect()
         text = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
         assert text.count("Scan parquet") == scans and "ReusedExchange" in text, name
+
+
+BROKEN = [(1, 5, 1, "a"), (2, None, 10, "a"), (9, 3, 100, "a"), (None, 4, 1000, "a"), (3, 3, 10000, "a")]
+
+
+@pytest.mark.parametrize(("low", "high"), [(None, None), (0, 20)])
+def test_broken_periods_are_valid_at_no_instant(spark, low, high):
+    for gaps in (False, True):
+        q = TemporalGrouping(table(spark, BROKEN)).overlaps("p", None if low is None else day(low), None if high is None else day(high)).include_gaps(gaps)
+        got = q.agg(sum_("v", "bigint", "s"), max_("v", "bigint", "m"), count_("1", "n")).df().collect()
+        assert [tuple(r) for r in got] == [(day(1), day(5), 1, 1, 1)]
+    assert TimeTravel(table(spark, BROKEN)).contains("p", day(3)).agg(sum_("v", "bigint", "s")).df().first()["s"] == 1
+
+
+def test_coalesced_across_windows(spark):
+    """As one pass over all intervals, whatever the number of windows; no task gets all of them."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(4)
+    rows, at = [], 0
+    for _ in range(120):
+        at += rnd.choice([0, 0, 0, 2])
+        end = at + rnd.randrange(1, 4)
+        rows.append((rnd.choice("xy"), day(at), day(end), rnd.choice([1, 1, 1, None])))
+        at = end
+    want = []
+    for key in "xy":
+        for _, b, e, v in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            if want and want[-1][0] == key and want[-1][2] == b and want[-1][3] == v:
+                want[-1] = (key, want[-1][1], e, v)
+            else:
+                want.append((key, b, e, v))
+    d = spark.createDataFrame(rows, "k string, period_start date, period_end date, v int")
+    assert sorted(map(tuple, coalesced(d, ["k"]).collect()), key=str) == sorted(want, key=str)
+    one = d.where("k = 'x'").drop("k")
+    found = coalesced(one)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == sorted((w[1:] for w in want if w[0] == "x"), key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") > 0 and coalesced(d.where(F.lit(False))).count() == 0
+
+
+def test_options_hold_while_it_runs(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = lambda df: (df.count(), spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = table(spark, [(0, 3, 1, "a")])
+    for q in (TimeTravel(rows).contains("p", day(2)).select("v"), TemporalGrouping(rows).overlaps("p").agg(sum_("v", "bigint", "s"))):
+        assert q.option("spark.sql.shuffle.partitions", "3").run(seen) == (1, "3")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
