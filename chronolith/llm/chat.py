@@ -1,8 +1,8 @@
 """Chat formatting by event-sourced reconstruction, in DataFrame operations only.
 
-A conversation log holds events: a ``message`` opens a turn at its sequence number;
-a ``delta`` appends to the turn named by ``target``, an ``edit`` replaces its text, a
-``regenerate`` starts its text anew.  Each turn's last event that sets its text counts,
+A conversation log holds events: a ``message`` opens a turn at its sequence number, and is
+named by its ``target``, or by that number where it has none; a ``delta`` appends to the turn
+named by its ``target``, an ``edit`` replaces its text, a ``regenerate`` starts its text anew.  Each turn's last event that sets its text counts,
 followed by the deltas after it.  Turns in order of sequence then make one string:
 
 * ``<s>`` text ``</s>`` for the assistant, whose text is under the loss mask,
@@ -11,10 +11,12 @@ followed by the deltas after it.  Turns in order of sequence then make one strin
 Inside texts these four strings are escaped by entities, which ``unescape`` undoes.
 
 Defined results: null text is empty, null role is the empty role; messages with the
-same sequence number are turns of their own, ordered by role and text (deltas and
-edits apply to the last of them); events on a target without message are dropped;
-a null conversation id is a conversation of its own.  A conversation is one row of
-the result, so its events meet in one task: the bound is the length of one conversation.
+same sequence number are turns of their own, ordered by role and text, a null number first
+(deltas and edits of a name that several have apply to the last of them); events on a target
+without message, and events of another kind or none, count for nothing; a null conversation
+id is a conversation of its own; an empty log has no conversations; other columns are not
+read.  A conversation is one row of the result, so its events meet in one task: the bound is
+the length of one conversation.
 """
 
 from __future__ import annotations
@@ -45,14 +47,38 @@ def messages_as_events(rows: DataFrame, conv: str = "conv_id", turn: str = "turn
     return rows.select(F.col(conv).alias("conv_id"), F.col(turn).alias("seq"), F.lit("message").alias("kind"), "role", "text", F.col(turn).alias("target"))
 
 
+def streamed_log(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """The log that a chat server would have written of these turns.
+
+    By a hash of conversation and turn a text came in two deltas, or was a draft that an edit
+    replaced and deltas went on with, or was begun, regenerated and streamed anew.
+    """
+    text, null = F.coalesce("text", F.lit("")), F.lit(None).cast("string")
+    n = F.length(text)
+    head = lambda part: F.substring(text, F.lit(1), F.floor(n / part).cast("int"))
+    tail = lambda part: F.substring(text, F.floor(n / part).cast("int") + 1, n)
+
+    def event(seq: Column, kind: str, role: Column, said: Column) -> Column:
+        return F.struct(seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), said.alias("text"))
+
+    opened = lambda said: event(F.col(turn), "message", F.col("role"), said)
+    later = lambda k, kind, said: event(F.lit(k), kind, null, said)
+    in_parts = F.array(opened(head(3)), later(1, "delta", tail(3)))
+    edited = F.array(opened(F.lit("draft")), later(1, "delta", F.lit(" of a text")), later(2, "edit", head(2)), later(3, "delta", tail(2)))
+    anew = F.array(opened(head(3)), later(1, "delta", F.lit("lost")), later(2, "regenerate", null), later(3, "delta", head(2)), later(4, "delta", tail(2)))
+    life = F.pmod(F.xxhash64(conv, turn), F.lit(3))
+    events = F.explode(F.when(life == 0, in_parts).when(life == 1, edited).otherwise(anew)).alias("e")
+    return rows.withColumn("target", F.monotonically_increasing_id()).select(F.col(conv).alias("conv_id"), "target", events).select("conv_id", "e.*", "target")
+
+
 def reconstruct(events: DataFrame) -> DataFrame:
     """Fold events (conv_id, seq, kind, role, text, target) into final turns (conv_id, seq, role, text)."""
     kind = F.lower(F.col("kind"))
-    order = F.when(kind == "message", 0).when(kind == "regenerate", 1).when(kind == "edit", 2).otherwise(3)
-    message = kind == "message"
-    ev = events.select(
+    order = F.when(kind == "message", 0).when(kind == "regenerate", 1).when(kind == "edit", 2).when(kind == "delta", 3)
+    named = F.when(kind == "message", F.coalesce("target", "seq")).otherwise(F.col("target"))
+    ev = events.where(order.isNotNull()).select(
         "conv_id",
-        F.when(message, F.col("seq")).otherwise(F.col("target")).alias("at"),
+        named.alias("at"),
         F.struct(F.col("seq").alias("seq"), order.alias("k"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("e"),
     )
     grouped = ev.groupBy("conv_id", "at").agg(F.sort_array(F.collect_list("e")).alias("events"))
@@ -67,23 +93,25 @@ def reconstruct(events: DataFrame) -> DataFrame:
     count = F.size("opened")
     turns = F.transform(
         "opened",
-        lambda e, i: F.struct(i.alias("i"), e.role.alias("role"), F.when((i == count - 1) & (F.size("after") > 0), last_text).otherwise(e.text).alias("text")),
+        lambda e, i: F.struct(e.seq.alias("seq"), e.role.alias("role"), F.when((i == count - 1) & (F.size("after") > 0), last_text).otherwise(e.text).alias("text")),
     )
-    return grouped.select("conv_id", F.col("at").alias("seq"), F.explode(turns).alias("t")).select("conv_id", "seq", F.col("t.i").alias("i"), "t.role", "t.text")
+    return grouped.select("conv_id", F.explode(turns).alias("t")).select("conv_id", "t.seq", "t.role", "t.text")
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """Render turns (conv_id, seq, i, role, text): one row per conversation.
+    """Render turns (conv_id, seq, role, text): one row per conversation.
 
     ``formatted``: the whole string; ``loss``: array of (start, length) in code points, from 0,
     of the parts under the loss mask, in order.
     """
-    is_assistant = F.col("role") == ASSISTANT
-    body = escape(F.col("text"))
-    role = F.replace(escape(F.col("role")), F.lit("\n"), F.lit("&#10;"))
-    piece = F.when(is_assistant, F.concat(F.lit(OPEN_ASSISTANT), body, F.lit(CLOSE_ASSISTANT))).otherwise(F.concat(F.lit(OPEN_OTHER), role, F.lit("\n"), body, F.lit(CLOSE_OTHER)))
-    rendered = turns.select("conv_id", F.struct("seq", "i", is_assistant.alias("assistant"), piece.alias("piece")).alias("p"))
-    grouped = rendered.groupBy("conv_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+
+    def rendered(t: Column) -> Column:
+        mine, body = t.role == ASSISTANT, escape(t.text)
+        role = F.replace(escape(t.role), F.lit("\n"), F.lit("&#10;"))
+        said = F.when(mine, F.concat(F.lit(OPEN_ASSISTANT), body, F.lit(CLOSE_ASSISTANT))).otherwise(F.concat(F.lit(OPEN_OTHER), role, F.lit("\n"), body, F.lit(CLOSE_OTHER)))
+        return F.struct(mine.alias("assistant"), said.alias("piece"))
+
+    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seq", "role", "text"))).alias("ts")).select("conv_id", F.transform("ts", rendered).alias("ps"))
     extra = len(OPEN_ASSISTANT) + len(CLOSE_ASSISTANT)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans"))
     sized = F.transform("ps", lambda p: F.struct(p.assistant.alias("assistant"), F.length(p.piece).cast("long").alias("n")))

@@ -24,7 +24,10 @@ word between separators.
 Defined results: a text without letters or digits gives no evidence; a row whose best
 language has a probability below ``ACCEPT``, against the other languages and the background,
 or that has no text evidence at all, is not accepted (its best language is still named).  Null hosts, suffixes and declarations give no
-evidence.  Ties go to the first language in order of name.
+evidence.  Ties go to the first language in order of name.  Repeated rows are rows of their own,
+and each counts for the priors; very long texts are read whole; an empty table gives an empty
+result; without labels no row is accepted.  Columns named language, probability or accepted are
+replaced, all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import checkpointed, grouped, streamed
 from .words import blocks
@@ -44,6 +49,8 @@ from .words import blocks
 BUCKETS = 1 << 14
 #: Labelled texts for each language that the trigram models are counted on, at most, and bytes of each text's share of the counts.
 SAMPLE = 1500
+#: A model has 64 KB for each language and is sent to every task: 64 MB at most.  More labels raise an error.
+MAX_LANGUAGES = 1000
 EFFECTIVE = 200
 ACCEPT = 0.5
 _HOST_WEIGHT = 8.0
@@ -117,7 +124,7 @@ class Model:
         return out * (np.minimum(counts, EFFECTIVE) / np.maximum(counts, 1))[:, None], counts
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, max_languages: int = 200) -> Model:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, max_languages: int = MAX_LANGUAGES) -> Model:
     """Count trigram models on at most ``sample`` texts of each language.  More than ``max_languages`` labels raise an error.
 
     The chosen ids, a number bounded by ``sample`` and the languages, are broadcast; the
@@ -127,12 +134,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     names = sorted(r["label"] for r in ids.select("label").distinct().limit(max_languages + 1).collect())
     if len(names) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    chosen = None
-    for name in names:
-        part = ids.where(F.col("label") == name).orderBy(F.xxhash64("id"), "id").limit(sample)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
+    if not names:
         return Model((), np.zeros((0, BUCKETS), np.float32))
+    first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    chosen = ids.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).select("id", "label")
     picked = labelled.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text")).join(F.broadcast(chosen), ["id", "label"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,14 +180,15 @@ def declared_in(html: Column) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    bare = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->|<[^>]*>", " ")
+    """A page without markup; what is not closed reaches to the end, so that each byte is looked at a few times only."""
+    bare = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)|<[^<>]*>", " ")
     return F.regexp_replace(bare, r"&[A-Za-z#0-9]+;", " ")
 
 
 def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
     """Replace ``text`` by ``ll`` (tempered log likelihoods) and ``grams`` (trigrams seen)."""
     kept = [c for c in rows.columns if c != "text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"] + ["ll array<double>", "grams long"])
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name != "text"), T.StructField("ll", T.ArrayType(T.DoubleType())), T.StructField("grams", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,10 +217,12 @@ def fuse(rows: DataFrame, model: Model) -> DataFrame:
     ``text`` goes; the other columns stay.  Hosts are joined by their key, never broadcast:
     their number has no bound.
     """
+    rows = rows.drop("language", "probability", "accepted")
     if not model.languages:
         return rows.drop("text").withColumns({"language": F.lit(None).cast("string"), "probability": F.lit(0.0), "accepted": F.lit(False)})
     n = len(model.languages) + 1  # the background is the last
-    seen = checkpointed(text_evidence(rows, model)).withColumn("p", F.when(F.col("grams") > 0, _softmax(F.col("ll"))))
+    own = F.struct(*(F.col(f"`{c}`") for c in rows.columns if c != "text")).alias("row")  # out of the way of the names below
+    seen = checkpointed(text_evidence(rows.select(own, "host", "domain", "suffix", "declared", "text"), model)).withColumn("p", F.when(F.col("grams") > 0, _softmax(F.col("ll"))))
     clear = seen.where("grams > 0")
     names = F.array(*map(F.lit, model.languages))
 
@@ -245,7 +253,7 @@ def fuse(rows: DataFrame, model: Model) -> DataFrame:
     best = F.array_max(F.slice("p", 1, n - 1))
     return fused.withColumns(
         {"language": F.element_at(names, F.array_position("p", best).cast("int")), "probability": best, "accepted": (F.col("grams") > 0) & (best >= ACCEPT)}
-    ).select(*[c for c in rows.columns if c != "text"], "language", "probability", "accepted")
+    ).select("row.*", "language", "probability", "accepted")
 
 
 def identify_documents(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:

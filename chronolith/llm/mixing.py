@@ -16,7 +16,8 @@ of all words; no target exceeds a multiple of its source's words, the excess is
 again by weight.
 
 Defined results: null text has no words; documents without words are in no block; a null
-source is a source; repeated rows are documents of their own.
+source is a source; repeated rows are documents of their own; an empty table gives an empty
+mix; a very long text is cut in blocks like any other; other columns are not read.
 """
 
 from __future__ import annotations
@@ -92,16 +93,15 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def plan(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 256, least_slots: int = 4096, max_sources: int = 100_000) -> Plan:
-    """Targets for rows of (source, size).  Blocks are smaller where the mix would have fewer than ``least_slots``."""
+def plan(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 256, max_sources: int = 100_000) -> Plan:
+    """Targets for rows of (source, size), of which there is one entry at the driver: more than ``max_sources`` raise an error."""
     found = sizes.groupBy("source").agg(F.sum("size").alias("words")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     words = [int(r["words"] or 0) for r in found]
     goal = targets(words, [weights[i % len(weights)] for i in range(len(found))], share * sum(words), most)
-    block = max(1, min(block_words, int(share * sum(words)) // least_slots))
-    return Plan(tuple(Source(i, r["source"], w, t) for i, (r, w, t) in enumerate(zip(found, words, goal, strict=True))), block, most)
+    return Plan(tuple(Source(i, r["source"], w, t) for i, (r, w, t) in enumerate(zip(found, words, goal, strict=True))), block_words, most)
 
 
 def source_table(spark: SparkSession, p: Plan) -> DataFrame:

@@ -23,11 +23,13 @@ in different components are paired, if their sizes and the positions of the shar
 in the order allow a link (what comes before their first common shingle is not shared).
 So groups of near copies cost their size, and no link that would join two components is lost.
 
-Hashed shingles have 64 bits.  Class ids are 64-bit hashes of sets; that no id stands for
-two sets is checked with a second hash, and the join raises an error otherwise.
+Hashed shingles have 64 bits.  Class ids are 64-bit hashes of sets.  That no id stands for two
+sets is checked with a second hash; ids that do are taken back, their sets get ids of all 128
+bits of both hashes, and the texts are hashed again.
 
 Defined results: null and blank texts have the empty set and link with nothing; rows with
-equal ids are one vertex; rows with a null id are returned with a null component.
+equal ids are one vertex; rows with a null id are returned with a null component; an empty
+table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +58,10 @@ _LARGEST_BOUNDARY = 24
 #: Cost of an entry of an inverted list in subsets.
 _LIST_COST = 4
 _BLOCK = 4 << 20
+#: Shingles for each bucket of lists, so that what a task scans stays small however large the table is.
+_BUCKET_SHINGLES = 1 << 22
+#: Classes that a task remembers to have sent; beyond them a class may be sent again, and counts once.
+_REMEMBERED = 1 << 17
 
 
 def least_overlap(a: int, b: int, num: int, den: int) -> int:
@@ -85,10 +92,17 @@ def boundary(histogram: dict[int, int], num: int, den: int) -> int:
     return min(range(_LARGEST_BOUNDARY + 1), key=lambda b: (cost(b), b))
 
 
+NO_CLASHES = np.zeros(0, np.int64)
+
+
 class Sets:
-    """Distinct sorted shingles of a block of texts."""
+    """Distinct sorted shingles of a block of texts.
+
+    ``clashes``: sorted class ids that stand for several sets; such sets get other ids.
+    ``class_bits``: bits of a class id, fewer than 64 only to test clashes.
+    """
 
-    def __init__(self, texts: pa.Array, width: int):
+    def __init__(self, texts: pa.Array, width: int, clashes: np.ndarray = NO_CLASHES, class_bits: int = 64):
         values, counts = shingles(Words(texts, lower=True), width)
         ends = np.cumsum(counts)
         keep = np.ones(len(values), bool)
@@ -104,6 +118,10 @@ class Sets:
         # A set's class, and a second hash of it
         self.classes = self._folded(mix(self.values ^ _U(0x8EBC6AF09C88C6E3)))
         self.checks = self._folded(mix(self.values * _U(0x589965CC75374CC3)))
+        if class_bits < 64:
+            self.classes = self.classes & ((1 << class_bits) - 1)
+        while len(at := np.flatnonzero(np.isin(self.classes, clashes))):
+            self.classes[at] = mix(self.classes[at].view(np.uint64) * _U(0xFF51AFD7ED558CCD) + mix(self.checks[at].view(np.uint64))).view(np.int64)
 
     def sketches(self, chosen: np.ndarray) -> list[bytes]:
         """Histograms of some sets' hashes over a power of two of buckets, about one for four shingles.
@@ -122,23 +140,23 @@ class Sets:
         return mix(total[self.ends] - total[self.starts] + self.sizes.astype(np.uint64)).view(np.int64)
 
 
-def _text_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, Sets]]:
+def _text_blocks(batches: Iterator[pa.RecordBatch], *how: Any) -> Iterator[tuple[pa.RecordBatch, Sets]]:
     for batch in batches:
         for i, j in blocks(batch.column(batch.num_columns - 1), _BLOCK):
             part = batch.slice(i, j - i)
-            yield part, Sets(part.column(part.num_columns - 1), width)
+            yield part, Sets(part.column(part.num_columns - 1), *how)
 
 
-def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def shingle_sets(docs: DataFrame, *how: Any) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, n, class, check) for each document, (class, sketch) for the sets, and counts (shingle, n) of frequent shingles.
 
-    A class's sketch comes once from each block of texts that has it.
+    A class's sketch comes once from each block of texts that has it.  ``how``: as for ``Sets``.
     """
     schema = "kind int, doc_id long, n long, class long, check long, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "doc_id", "n", "class", "check", "sketch"]
-        for part, sets in _text_blocks(batches, width):
+        for part, sets in _text_blocks(batches, *how):
             k = len(sets.sizes)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), part.column(0), pa.array(sets.sizes.astype(np.int64)), pa.array(sets.classes), pa.array(sets.checks), pa.nulls(k, pa.binary())], names)
             one = np.unique(sets.classes, return_index=True)[1]
@@ -225,12 +243,11 @@ def _scan(num: int, den: int):
     return run
 
 
-def candidate_lists(docs: DataFrame, width: int, order: Order, bound: int, num: int, den: int) -> DataFrame:
+def candidate_lists(docs: DataFrame, how: tuple, order: Order, bound: int, num: int, den: int, buckets: int) -> DataFrame:
     """Rows (list, class, size, place): lists of at least two classes whose sizes can link.
 
     Lists of the same classes are one, with the least place of each class.
     """
-    buckets = partitions(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -246,9 +263,11 @@ def candidate_lists(docs: DataFrame, width: int, order: Order, bound: int, num:
             sent = [x[at] for x in (a, *rest)]
             return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary()) for x in sent)], ["bucket", "keys", "classes", "sizes", "places"])
 
-        for _, sets in _text_blocks(batches, width):
+        for _, sets in _text_blocks(batches, *how):
             _, first = np.unique(sets.classes, return_index=True)
             chosen = np.array([d for d in np.sort(first).tolist() if sets.sizes[d] and int(sets.classes[d]) not in known], np.int64)
+            if len(known) > _REMEMBERED:
+                known.clear()
             known.update(sets.classes[chosen].tolist())
             a, owner, place = _keys(sets, chosen, order, bound, num, den)
             if len(a):
@@ -296,7 +315,7 @@ def possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataF
     return checkpointed(rows.mapInArrow(streamed(run), "x long, y long").distinct())
 
 
-def verified(pairs: DataFrame, rows: DataFrame, holders: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, holders: DataFrame, how: tuple, num: int, den: int) -> DataFrame:
     """The pairs (x, y) of classes that link, by the exact intersection of their sets.
 
     ``holders`` names a document of each class; only the texts of classes in pairs are read.
@@ -316,24 +335,29 @@ def verified(pairs: DataFrame, rows: DataFrame, holders: DataFrame, width: int,
     if pairs.isEmpty():
         return pairs
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct()
-    sets = checkpointed(_sets_of(rows, broadcast_if_small(holders.join(wanted, "class", "left_semi")), width))
+    sets = checkpointed(_sets_of(rows, broadcast_if_small(holders.join(wanted, "class", "left_semi")), how))
     left = sets.select(F.col("class").alias("x"), F.col("shingles").alias("sx"))
     right = sets.select(F.col("class").alias("y"), F.col("shingles").alias("sy"))
     return checkpointed(pairs.join(left, "x").join(right, "y").select("x", "y", "sx", "sy").mapInArrow(streamed(run), "x long, y long").distinct())
 
 
-def component_table(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def component_table(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, class_bits: int = 64) -> DataFrame:
     """Per document (doc_id, text): doc_id, n_shingles and component_id, the smallest id reachable by links."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks, sketches, counts = shingle_sets(rows, width)
-    full = marks.where("n > 0")
-    clash = full.groupBy("class").agg(F.min("check").alias("a"), F.max("check").alias("b"), F.min("n").alias("c"), F.max("n").alias("d")).where("a <> b OR c <> d").limit(1).collect()
-    if clash:
-        raise ValueError("two shingle sets have the same 64-bit class id")
+    clashes = NO_CLASHES
+    while True:
+        how = (width, clashes, class_bits)
+        marks, sketches, counts = shingle_sets(rows, *how)
+        full = marks.where("n > 0")
+        clash = full.groupBy("class").agg(F.min("check").alias("a"), F.max("check").alias("b"), F.min("n").alias("c"), F.max("n").alias("d")).where("a <> b OR c <> d").select("class").toArrow()["class"].to_numpy()
+        if not len(clash):
+            break
+        clashes = np.union1d(clashes, clash)  # n sets have n * n / 2**65 of them: three in ten thousand million
+    buckets = max(partitions(docs), (full.agg(F.sum("n")).first()[0] or 0) // _BUCKET_SHINGLES)
     often = counts.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(ORDERED_SHINGLES).collect()
     order = Order([(r["shingle"], r["n"]) for r in often])
     histogram = {r["n"]: r["k"] for r in full.where(F.col("n") <= 2 * _LARGEST_BOUNDARY).select("class", "n").distinct().groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
-    lists = checkpointed(candidate_lists(rows, width, order, boundary(histogram, num, den), num, den))
+    lists = checkpointed(candidate_lists(rows, how, order, boundary(histogram, num, den), num, den, buckets))
 
     holders = checkpointed(full.where("doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(lists.select("class").distinct(), "class", "left_semi"))
     degree = lists.groupBy("class").agg(F.count(F.lit(1)).alias("degree"))
@@ -342,7 +366,7 @@ def component_table(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     stars = checkpointed(stars.where((F.col("x") != F.col("y")) & _can_link(num, den)).select("x", "y", "sx", "sy").distinct())
     several = full.groupBy("doc_id").agg(F.min("class").alias("u"), F.max("class").alias("v")).where("doc_id IS NOT NULL AND u <> v").select(F.col("doc_id").alias("d"), "u")
     same_id = full.join(several, F.col("doc_id") == F.col("d")).select("u", F.col("class").alias("v"))
-    links = verified(possible(stars, sketches, num, den), rows, holders, width, num, den).toDF("u", "v").unionByName(same_id)
+    links = verified(possible(stars, sketches, num, den), rows, holders, how, num, den).toDF("u", "v").unionByName(same_id)
     parts = connected_components(links)
 
     member = lists.join(parts.withColumnRenamed("node", "class"), "class", "left").select("list", "class", "size", "place", F.coalesce("component", "class").alias("part"))
@@ -355,7 +379,7 @@ def component_table(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     rest = one.join(other, "list").where((F.col("px") < F.col("py")) & _can_link(num, den) & first).select("x", "y", "sx", "sy")
     tried = stars.select("x", "y").unionByName(stars.select(F.col("y").alias("x"), F.col("x").alias("y")))
     rest = checkpointed(rest.join(tried, ["x", "y"], "left_anti"))
-    more = verified(possible(rest, sketches, num, den), rows, holders, width, num, den)
+    more = verified(possible(rest, sketches, num, den), rows, holders, how, num, den)
     ends = more.join(parts.toDF("x", "cx"), "x", "left").join(parts.toDF("y", "cy"), "y", "left")
     bridges = connected_components(ends.select(F.coalesce("cx", "x").alias("u"), F.coalesce("cy", "y").alias("v")))
 
@@ -366,11 +390,11 @@ def component_table(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     return marks.select("doc_id", F.col("n").alias("n_shingles")).join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _sets_of(rows: DataFrame, holders: DataFrame, width: int) -> DataFrame:
+def _sets_of(rows: DataFrame, holders: DataFrame, how: tuple) -> DataFrame:
     """Rows (class, shingles): the sorted shingles of one document of each class (repeated rows repeat it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _text_blocks(batches, width):
+        for part, sets in _text_blocks(batches, *how):
             mine = np.flatnonzero(sets.classes == part.column(0).to_numpy())
             raw = [sets.values[sets.starts[d] : sets.ends[d]].tobytes() for d in mine]
             yield pa.RecordBatch.from_arrays([pa.array(sets.classes[mine]), pa.array(raw, pa.binary())], ["class", "shingles"])

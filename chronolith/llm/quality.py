@@ -1,10 +1,11 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the mean of learned vectors of its features: hashed words, word pairs and
-byte trigrams, as many as there are in the whole text.  A softmax layer on the mean gives
+character trigrams, as many as there are in the whole text.  A softmax layer on the mean gives
 the probability of label 1.  Vectors and layer are trained by minibatch gradient descent
-in numpy on the driver, on at most ``SAMPLE`` labelled documents chosen by a hash of the
-id; only the hashed counts of those travel.
+in numpy on the driver, on the labelled documents that come first by a hash of the id:
+``SAMPLE`` of them at most, and as many as have ``SAMPLE_BYTES`` of text together (a longer
+document is left out, the next are tried).  Only the hashed counts of those travel.
 
 The layer is linear, so a document's score is the mean of one number per feature.  The
 executors get that table (one float for each hash bucket) and score whole texts.
@@ -13,7 +14,8 @@ A pair of equal words counts as one feature of its own, whatever the word.
 
 Defined results: null and empty texts have no features and get the score of the bias;
 documents with null ids are scored and never used to learn; labels other than 0 and 1
-and null labels are ignored; of several labels of an id, each counts.
+and null labels are ignored; of several labels of an id, each counts; repeated rows are rows
+of their own; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,12 +34,16 @@ from .words import Words, blocks, mix
 BITS = 17
 DIMENSIONS = 8
 SAMPLE = 5000
+#: Counts of a text take some four times its bytes at the driver.
+SAMPLE_BYTES = 24 << 20
 EPOCHS = 8
 BATCH = 50
 RATE = 6.0
 THRESHOLD = 0.3
 _U = np.uint64
 _SAME = 1
+#: Bytes of a character of 0 to 4 bytes.
+_CHARACTER = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,14 +54,17 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     of_word = np.repeat(np.arange(len(texts)), words.counts)
     pair = of_word[1:] == of_word[:-1]
     pairs = np.where(h[1:] == h[:-1], _U(_SAME), mix(h[1:] * _U(0x9FB21C651E98DF25) + h[:-1]) & mask)[pair]
-    raw = words.buf[:-8].astype(np.uint64)
-    n = max(len(raw) - 2, 0)
-    grams = mix((raw[:n] << _U(16)) | (raw[1 : n + 1] << _U(8)) | raw[2 : n + 2] | _U(1 << 40)) & mask
-    sizes = np.diff(words.bounds)
-    of_gram = np.repeat(np.arange(len(texts)), sizes)
-    inside = of_gram[:n] == of_gram[2 : n + 2]
+    raw = words.buf
+    first = np.flatnonzero((raw[:-8] & 0xC0) != 0x80)  # bytes that begin a character
+    size = np.diff(np.append(first, len(raw) - 8))
+    view = np.lib.stride_tricks.as_strided(raw[:4].view(np.uint32), (len(raw) - 7,), (1,))
+    chars = (view[first] & _CHARACTER[np.minimum(size, 4)]).astype(np.uint64)
+    of_char = np.searchsorted(words.bounds, first, "right") - 1
+    n = max(len(chars) - 2, 0)
+    grams = mix((chars[:n] * _U(0x9E3779B97F4A7C15) + chars[1 : n + 1]) * _U(0xC2B2AE3D27D4EB4F) + chars[2 : n + 2]) & mask
+    inside = of_char[:n] == of_char[2 : n + 2]
     found = np.concatenate([h & mask, pairs, grams[inside]]).astype(np.int64)
-    owner = np.concatenate([of_word, of_word[1:][pair], of_gram[:n][inside]])
+    owner = np.concatenate([of_word, of_word[1:][pair], of_char[:n][inside]])
     return found, owner, np.bincount(owner, minlength=len(texts))
 
 
@@ -78,10 +87,18 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(label, buckets, counts) of at most ``sample`` labelled documents that are not held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(label, buckets, counts) of at most ``sample`` labelled documents that are not held out, with at most ``sample_bytes`` of text."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.col("quality"))
+    first = known.orderBy(*order).limit(sample)
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(first), "doc_id").groupBy("doc_id", "quality").agg(F.sum("size").alias("size")).orderBy(*order).collect()
+    fits, held = [], 0
+    for r in sizes:
+        if held + (r["size"] or 0) <= sample_bytes:
+            fits.append((r["doc_id"], r["quality"]))
+            held += r["size"] or 0
+    chosen = docs.sparkSession.createDataFrame(fits, "doc_id long, quality int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -82,10 +82,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns, as the log of events that a chat server would have written of them."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = f"{chat.CLOSE_ASSISTANT}{chat.OPEN_OTHER} ok {chat.CLOSE_OTHER}"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(chat.ASSISTANT).alias("role"), F.lit(said).alias("text"))
-    chats = chat.format_chats(chat.reconstruct(chat.messages_as_events(rows.unionByName(extra))))
+    chats = chat.format_chats(chat.reconstruct(chat.streamed_log(rows.unionByName(extra))))
     read = chats.withColumns({"turns": chat.parse(F.col("formatted")), "learned": chat.loss_text(F.col("formatted"), F.col("loss"))})
     return read.select(
         "conv_id",
@@ -162,9 +163,9 @@ ORACLES: dict[str, str] = {
             UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
         e AS (SELECT *, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<s>', '&lt;s>'), '</s>', '&lt;/s>'), '[INST]', '&#91;INST]'), '[/INST]', '&#91;/INST]') AS body FROM r)
         SELECT conv_id, count(*) AS n_turns,
-            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
             coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
-            sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+            sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
             sum(CASE WHEN role = 'assistant' THEN 7 + length(body) ELSE 14 + length(role) + length(body) END)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
 }

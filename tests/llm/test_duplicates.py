@@ -182,3 +182,45 @@ def test_spans_that_differ_are_kept():
     assert digest(63, 60) == digest(0, 60) != digest(1, 60)
     wrong = substring_dedup._answer([(substring_dedup._DIFFERENT, np.array([7]), start.astype(np.uint64), n.astype(np.uint64))])
     assert not substring_dedup._repeated(p, 7, wrong).any()
+
+
+def test_class_ids_that_stand_for_two_sets(spark):
+    """With class ids of four bits nearly every id clashes; the components are those of brute force."""
+    rows = random_docs(4, 80)
+    got = sorted((tuple(r) for r in ngram_join.component_table(table(spark, rows), 2, 70, 100, class_bits=4).collect()), key=str)
+    assert got == brute_components(rows, 2, 70)
+
+
+def test_long_document_that_shares_passages(spark):
+    """One very long text, with a passage of each of many others, and a near copy of it."""
+    rnd = random.Random(9)
+    others = [[f"t{i}_{k}" for k in range(60)] for i in range(80)]
+    long = [w for o in others for w in o[10:40]] + [f"own{k}" for k in range(3000)]
+    copy = list(long)
+    for _ in range(20):
+        copy[rnd.randrange(len(copy))] = "changed"
+    rows = [(i, " ".join(o)) for i, o in enumerate(others)] + [(900, " ".join(long)), (500, " ".join(copy)), (901, " ".join(others[3][:-1]))]
+    assert components(spark, rows) == brute_components(rows)
+
+
+def test_chunks_cut_ids_that_many_rows_share(spark):
+    """Small chunks, a third of all rows without an id: results are those of brute force, and the rows are spread."""
+    from chronolith.llm import chunks, fingerprints
+
+    rnd = random.Random(6)
+    rows = [(None if i % 3 == 0 else i, " ".join(rnd.choice(["a", "b", "c", "dd"]) for _ in range(rnd.randrange(1, 80)))) for i in range(600)]
+    d = table(spark, rows).withColumnRenamed("class", "n_chars")
+    for down in (False, True):
+        spread, size = chunks.with_chunk(d, "doc_id", descending=down, chunk_bytes=2000)
+        counts = [r["count"] for r in spread.groupBy(chunks.CHUNK).count().collect()]
+        assert size > 50_000 and len(counts) > 20 and max(counts) < 60
+    old = chunks.CHUNK_BYTES
+    chunks.CHUNK_BYTES = 2000
+    try:
+        assert repeats(spark, rows, 5) == brute_repeats(rows, 5)
+        got = sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprints.edit_study(d).collect()), key=str)
+    finally:
+        chunks.CHUNK_BYTES = old
+    from tests.llm.test_digests import brute_op5
+
+    assert got == sorted(brute_op5(rows), key=str)

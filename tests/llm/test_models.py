@@ -175,7 +175,7 @@ def test_held_out_is_crc32(spark):
 
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
-    got = queries.op10_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 0"), "doc_id").where("held_out").collect()
+    got = queries.op10_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     good, bad = [r["score"] for r in got if r["quality"] == 1], [r["score"] for r in got if r["quality"] == 0]
     assert np.mean([a > b for a in good for b in bad]) > 0.97
     assert np.mean([r["predicted"] for r in got if r["quality"] == 1]) > 0.97
@@ -229,3 +229,95 @@ def test_near_duplicate_classes_of_boilerplate(spark):
     got = {r["doc_id"]: r["class_id"] for r in fingerprints.near_duplicate_classes(table(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
     wrong = [i for i in range(len(texts)) if got[i] != label[i]]
     assert len(set(label)) < 200 and not wrong, f"{len(wrong)} of {len(texts)} texts in another class"
+
+
+def test_quality_scores_are_those_of_a_plain_version(spark):
+    """Features counted one by one, over characters; a score is the logistic function of the bias and the mean of the table."""
+    texts = ["Ein schöner Satz, ein Satz.", "日本語 日本語 text", "", None, "x", "a  b\tb " * 50]
+    rng = np.random.default_rng(3)
+    model = quality.Classifier(rng.normal(size=1 << quality.BITS).astype(np.float32), 0.25)
+
+    for text, score in zip(texts, model.scores(pa.array(texts)), strict=True):
+        words = WORD.findall(text or "")
+        chars = text or ""
+        want = len(words) + max(len(words) - 1, 0) + max(len(chars) - 2, 0)
+        found, _, n = quality.features(pa.array([text]))
+        assert n.tolist() == [want]
+        # equal n-grams have equal buckets, different ones different (but for a few collisions)
+        grams = [chars[i : i + 3] for i in range(len(chars) - 2)]
+        buckets = found[len(found) - len(grams) :].tolist() if grams else []
+        assert len(dict(zip(grams, buckets, strict=True))) == len(set(grams)) and all(buckets[grams.index(g)] == b for g, b in zip(grams, buckets, strict=True))
+        total = model.bias + sum(float(model.table[f]) for f in found.tolist()) / max(want, 1)
+        assert abs(score - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_quality_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, "word " * (2000 if i == 3 else 10)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    learned = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert len(quality.training_rows(docs, labels)) == len(learned)
+    small = quality.training_rows(docs, labels, sample_bytes=500)
+    assert len(small) == 10 and len(quality.training_rows(docs, labels, sample=7)) == 7
+
+
+def test_many_languages(spark):
+    """Every label has a model, and more than the parameter allows raise an error."""
+    rnd = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(260):
+        own = rnd.sample(letters, 6)
+        rows += [(2 * k + j, " ".join("".join(rnd.choice(own) for _ in range(5)) for _ in range(40)), f"l{k:03}") for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert len(model.languages) == 260
+    ll, _ = model.likelihoods(pa.array([r[1] for r in rows]))
+    assert sum(model.languages[i] == r[2] for i, r in zip(ll[:, :-1].argmax(1), rows, strict=True)) > 500
+    with pytest.raises(ValueError, match="more than 259"):
+        language_id.train(docs, max_languages=259)
+
+
+def test_fusion_is_that_of_a_plain_version(spark):
+    """Columns of clashing names stay; the posterior is recomputed in plain numpy."""
+    rnd = random.Random(5)
+    english, german = "the cat and the dog of the house ".split(), "die Katze und der Hund von dem Haus ".split()
+    rows = []
+    for i in range(60):
+        words = rnd.choice([english, german])
+        text = " ".join(rnd.choice(words) for _ in range(rnd.choice([1, 3, 30]))) if i % 7 else None
+        host = rnd.choice(["a.site.de", "b.site.de", "www.x.com", None])
+        rows.append((i, text, host, ".".join(host.split(".")[-2:]) if host else None, host.split(".")[-1] if host else None, rnd.choice(["en", "de", None])))
+    docs = spark.createDataFrame([(1, " ".join(english) * 9, "en"), (2, " ".join(german) * 9, "de")], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    d = spark.createDataFrame(rows, "id long, text string, host string, domain string, suffix string, declared string")
+    clash = d.withColumns({c: F.lit(7) for c in ("ll", "p", "grams", "c0", "row", "host_prior", "suffix_ll", "label")})
+    out = language_id.fuse(clash, model)
+    assert out.columns == [c for c in clash.columns if c != "text"] + ["language", "probability", "accepted"]
+    got = {r["id"]: r for r in out.collect()}
+
+    ll, grams = model.likelihoods(pa.array([r[1] for r in rows], pa.string()))
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    p = {i: soft(ll[i]) for i in range(60) if grams[i]}
+    add = lambda key: {v: sum(p[r[0]] for r in rows if r[0] in p and r[key] == v) for v in {r[key] for r in rows if r[0] in p and r[key] is not None}}
+    overall = sum(p.values()) + 1
+    world = overall / overall.sum()
+    domain = {k: (c + 8 * world) / (c.sum() + 8) for k, c in add(3).items()}
+    of_host = {r[2]: r[3] for r in rows}
+    host = {k: (c + 8 * domain[of_host[k]]) / (c.sum() + 8) for k, c in add(2).items()}
+    for r in rows:
+        logs = ll[r[0]] + np.log(host.get(r[2], world))
+        for key in (4, 5):
+            sums = add(key)
+            if r[key] in sums:
+                logs = logs + np.log((sums[r[key]] + 1 / (len(sums) + 1)) / (overall + 1))
+        q = soft(logs)[:-1]
+        assert abs(got[r[0]]["probability"] - q.max()) < 1e-9 and got[r[0]]["language"] == model.languages[q.argmax()] and got[r[0]]["ll"] == 7
+        assert got[r[0]]["accepted"] == bool(grams[r[0]] > 0 and q.max() >= language_id.ACCEPT)
+    long = spark.createDataFrame([(1, "the cat and the dog " * 100_000), (1, "the cat and the dog " * 100_000)], "doc_id long, text string").withColumn("source", F.lit("s"))
+    assert [r["language"] for r in language_id.identify_documents(long, model).collect()] == ["en", "en"]
+
+
+def test_visible_text_of_broken_pages(spark):
+    pages = ["<p>one <!-- gone --> two <script>x</script>three", "a <!-- never closed " * 20000, "<" * 100_000, "b<script>" * 20000]
+    got = [r[0].split() for r in spark.createDataFrame([(p,) for p in pages], "html string").select(language_id.visible_text(F.col("html"))).collect()]
+    assert got[0] == ["one", "two", "three"] and got[1] == ["a"] and got[3] == ["b"]
