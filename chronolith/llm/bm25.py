@@ -1,14 +1,19 @@
-"""Exact BM25 top-k search with block-max dynamic pruning.
+"""Exact BM25 top-k search by block-max WAND over document-aligned blocks.
 
 The corpus is indexed in shards, one for each run of documents of an input partition:
-sorted term hashes and their postings.  A query is a set of terms.  In a shard,
+sorted term hashes, their postings in blocks of ``BLOCK`` documents, and for each term and
+block the largest contribution that one of its postings makes (block maxima, rounded up to a
+byte).  A query is a set of terms.  In a shard,
 
-1. the postings of its rare terms are added up;
-2. every block of ``BLOCK`` documents gets an upper bound: the best of these sums in the
-   block plus, for each frequent term, the largest contribution in the block (block maxima);
-3. the blocks with the highest bounds are scored, which gives a threshold: the k-th best
-   score so far; only blocks whose bound reaches it are scored at all, each for all queries
-   that need it in one matrix product.
+1. the block maxima of its terms, times their weights, add up to an upper bound for each block:
+   no posting is read;
+2. the blocks are visited by bound, the highest first.  The threshold is the k-th best score so
+   far; the pivot is the last block whose bound reaches it, and all blocks behind the pivot are
+   skipped with their postings.  Each visited block is scored in full, from the postings of the
+   query's terms in this block only, and raises the threshold.
+
+Queries go through this side by side, in steps of a few blocks: the postings of frequent terms
+of a block are a matrix, so a block is scored for all queries that visit it by one product.
 
 Documents of a shard are ordered by their most frequent term, which puts texts of one
 language together and makes block maxima tight.  A first part of the shards is searched
@@ -18,13 +23,15 @@ Document frequencies, the number of documents and their mean length are those of
 whole corpus, so scores of different shards compare, and the best k of all shards are
 the exact result.  Scores are rounded to four decimals; ties go to the smaller id.
 
-Queries are a set of their own that meets all documents.  They are dealt with in blocks of
-about ``QUERY_TERMS`` terms; one block at a time is broadcast, so its size is bounded.
+Queries are a set of their own that meets all documents.  They are written to the shared
+folder in blocks of about ``QUERY_TERMS`` terms, which the tasks read one after the other;
+nothing of them goes through the driver.
 
 Terms are words, A-Z in lower case; a query has each of its terms once.
 Defined results: a query without terms finds nothing; documents without terms are
 found by no query but count in the statistics; rows with a null id are left out; rows
-with equal ids are documents of their own.
+with equal ids are documents of their own, and queries with equal ids one query of all their
+terms; an empty table finds nothing; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,26 +41,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, shared_dir, streamed
+from .common import checkpointed, grouped, shared_dir, streamed
 from .words import Words, blocks
 
 K1, B = 1.2, 0.75
 TOP = 10
 BLOCK = 64
-QUERY_TERMS = 1 << 21
+QUERY_TERMS = 1 << 18
 #: Documents of a shard, at most.
 SHARD = 8192
 #: A term of more than this share of a shard's documents is frequent; at most so many are.
-_FREQUENT, _MOST_FREQUENT = 1 / 16, 2048
+_FREQUENT, _MOST_FREQUENT = 1 / 16, 512
 _U = np.uint64
 #: One of so many shards is searched first, for the thresholds.
 _FIRST = 8
-_INDEX = "part int, ids binary, lengths binary, terms binary, counts binary, docs binary, tf binary"
+_COLUMNS = ("ids", "lengths", "terms", "counts", "docs", "tf", "entries", "blocks", "sizes", "maxima")
+_INDEX = "part int, mean double, " + ", ".join(f"{c} binary" for c in _COLUMNS)
+#: A block maximum of ``n`` stands for ``n * _STEP``; no contribution is above ``K1 + 1``.
+_STEP = (K1 + 1) / 255
+#: Blocks that a query visits before its threshold is raised, step by step; then all up to the pivot.
+_VISITS = (2, 6, 24)
 
 
 def _distinct_terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +80,11 @@ def _distinct_terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[new], owner[new], np.diff(np.r_[new, len(h)])
 
 
-def _pack(part: int, ids: list[np.ndarray], parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], lengths: list[np.ndarray]) -> pa.RecordBatch:
+def _impacts(tf: np.ndarray, lengths: np.ndarray, mean: float) -> np.ndarray:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / mean))
+
+
+def _pack(part: int, mean: float, ids: list[np.ndarray], parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], lengths: list[np.ndarray]) -> pa.RecordBatch:
     term, doc, tf = (np.concatenate([p[k] for p in parts]) for k in range(3))
     n = sum(map(len, ids))
     leading = np.zeros(n, np.uint64)
@@ -78,15 +96,28 @@ def _pack(part: int, ids: list[np.ndarray], parts: list[tuple[np.ndarray, np.nda
     doc = place[doc]
     sorted_ = np.lexsort((doc, term))
     term, doc, tf = term[sorted_], doc[sorted_], tf[sorted_]
-    at = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
+    size = np.concatenate(lengths)[order]
+    none = np.zeros(0, np.int64)
+    new = np.r_[True, term[1:] != term[:-1]] if len(term) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
     counts = np.diff(np.r_[at, len(term)])
+    entry = np.flatnonzero(new | np.r_[True, doc[1:] // BLOCK != doc[:-1] // BLOCK]) if len(term) else none
+    best = np.maximum.reduceat(_impacts(tf.astype(np.float64), size[doc], mean), entry) if len(entry) else none
     small = np.uint16 if not len(tf) or tf.max() < 65536 else np.uint32
-    columns = (np.concatenate(ids)[order], np.concatenate(lengths)[order], term[at], counts.astype(np.int32), doc.astype(np.uint16), tf.astype(small))
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], ["part", "ids", "lengths", "terms", "counts", "docs", "tf"])
+    columns = (
+        np.concatenate(ids)[order], size, term[at], counts.astype(np.int32), doc.astype(np.uint16), tf.astype(small),
+        np.diff(np.r_[np.searchsorted(entry, at), len(entry)]).astype(np.int32), (doc[entry] // BLOCK).astype(np.uint16), np.diff(np.r_[entry, len(term)]).astype(np.uint8), np.minimum(np.ceil(best / _STEP + 1e-9), 255).astype(np.uint8),
+    )
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([mean]), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], ["part", "mean", *_COLUMNS])
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
-    """Index all documents; the shards are files in the shared folder."""
+    """Index all documents; the shards are files in the shared folder.
+
+    A first pass counts words, since block maxima need the mean length.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
+    mean = mean_length(rows.select("text")) or 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, parts, lengths, held = [], [], [], 0
@@ -96,7 +127,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
                 for low in range(i, j, shard):
                     high = min(j, low + shard)
                     if held + high - low > shard:
-                        yield _pack(part, ids, parts, lengths)
+                        yield _pack(part, mean, ids, parts, lengths)
                         ids, parts, lengths, held = [], [], [], 0
                     words = Words(batch.column(1)[low:high], lower=True)
                     term, doc, tf = _distinct_terms(words)
@@ -105,10 +136,9 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
                     lengths.append(words.counts.astype(np.int32))
                     held += high - low
         if held:
-            yield _pack(part, ids, parts, lengths)
+            yield _pack(part, mean, ids, parts, lengths)
 
     path = f"{shared_dir(docs.sparkSession)}/bm25-{uuid.uuid4().hex}"
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     rows.mapInArrow(streamed(run), _INDEX).write.parquet(path)
     return docs.sparkSession.read.schema(_INDEX).parquet(path)
 
@@ -124,16 +154,19 @@ def term_counts(index: DataFrame) -> DataFrame:
     return index.select("terms", "counts").mapInArrow(streamed(run), "term long, df int").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def statistics(index: DataFrame) -> tuple[int, float]:
-    """The number of documents and their mean length."""
+def mean_length(texts: DataFrame) -> float:
+    """The mean number of words of rows (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = words = 0
         for batch in batches:
-            lengths = [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([sum(len(x) for x in lengths)], pa.int64()), pa.array([sum(int(x.sum()) for x in lengths)], pa.int64())], ["n", "words"])
+            for i, j in blocks(batch.column(0), 4 << 20):
+                words += int(Words(batch.column(0)[i:j]).counts.sum())
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([words], pa.int64())], ["n", "words"])
 
-    r = index.select("lengths").mapInArrow(streamed(run), "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
-    return (r["n"] or 0), (r["words"] or 0) / max(r["n"] or 0, 1)
+    r = texts.mapInArrow(streamed(run), "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+    return (r["words"] or 0) / max(r["n"] or 0, 1)
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -154,109 +187,181 @@ class Shard:
         lengths = np.frombuffer(row["lengths"], np.int32)
         self.n = len(self.ids)
         self.terms = np.frombuffer(row["terms"], np.uint64)
-        self.counts = np.frombuffer(row["counts"], np.int32).astype(np.int64)
-        self.ends = np.cumsum(self.counts)
+        counts = np.frombuffer(row["counts"], np.int32).astype(np.int64)
+        ends = np.cumsum(counts)
         self.docs = np.frombuffer(row["docs"], np.uint16).astype(np.int32)
         tf = np.frombuffer(row["tf"], np.uint16 if len(row["tf"]) == 2 * len(self.docs) else np.uint32).astype(np.float64)
-        self.impacts = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / mean)[self.docs])
-        often = np.flatnonzero(self.counts > max(_FREQUENT * self.n, 8))
-        often = np.sort(often[np.argsort(-self.counts[often], kind="stable")[:_MOST_FREQUENT]])
+        self.impacts = _impacts(tf, lengths[self.docs], mean)
+        #: Of each term, its blocks; of each of those, the block, the postings and their upper bound.
+        self.entries = np.frombuffer(row["entries"], np.int32).astype(np.int64)
+        self.entry_ends = np.cumsum(self.entries)
+        self.block = np.frombuffer(row["blocks"], np.uint16).astype(np.int64)
+        self.size = np.frombuffer(row["sizes"], np.uint8).astype(np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.most = np.frombuffer(row["maxima"], np.uint8) * _STEP
+        often = np.flatnonzero(counts > max(_FREQUENT * self.n, 8))
+        often = np.sort(often[np.argsort(-counts[often], kind="stable")[:_MOST_FREQUENT]])
         self.blocks = -(-self.n // BLOCK)
-        #: Frequent terms' contributions by block, term and document.
+        #: Frequent terms' contributions by block, term and document, and their maxima by block.
         self.dense = np.zeros((self.blocks, len(often), BLOCK))
+        self.maxima = np.zeros((self.blocks, len(often)))
         self.column = np.full(len(self.terms), -1, np.int32)
         self.column[often] = np.arange(len(often))
         for k, t in enumerate(often):
-            at = slice(self.ends[t] - self.counts[t], self.ends[t])
+            at = slice(ends[t] - counts[t], ends[t])
             self.dense[self.docs[at] // BLOCK, k, self.docs[at] % BLOCK] = self.impacts[at]
-        self.maxima = self.dense.max(2)
+            at = slice(self.entry_ends[t] - self.entries[t], self.entry_ends[t])
+            self.maxima[self.block[at], k] = self.most[at]
 
     def search(self, terms: np.ndarray, weights: np.ndarray, bounds: np.ndarray, floors: np.ndarray, top: int, most: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Documents and scores for each query ``terms[bounds[q]:bounds[q + 1]]``: all that reach its floor and are among the best ``top``."""
-        place = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
-        known = self.terms[place] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        for first in range(0, len(bounds) - 1, most):
-            last = min(first + most, len(bounds) - 1)
-            asked = np.zeros((last - first, self.dense.shape[1]))
-            rare = np.zeros((last - first, self.blocks * BLOCK))
-            for q in range(first, last):
-                at = slice(bounds[q], bounds[q + 1])
-                t, w = place[at][known[at]], weights[at][known[at]]
-                column = self.column[t]
-                asked[q - first, column[column >= 0]] = w[column >= 0]
-                t, w = t[column < 0], w[column < 0]
-                count = self.counts[t]
-                at = np.repeat(self.ends[t] - np.cumsum(count), count) + np.arange(count.sum())
-                rare[q - first] = np.bincount(self.docs[at], self.impacts[at] * np.repeat(w, count), rare.shape[1])
-            yield from ((first + q, d, x) for q, d, x in self._best(asked, rare.reshape(len(rare), self.blocks, BLOCK), floors[first:last], top))
-
-    def _best(self, asked: np.ndarray, rare: np.ndarray, floors: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Score the blocks whose bounds reach the threshold.  A little slack covers rounding."""
-        bound = rare.max(2) + asked @ self.maxima.T
-        some = min(self.blocks, -(-top // BLOCK) + 1)
-        likely = np.argpartition(-bound, some - 1, axis=1)[:, :some]
-        floor = floors.copy()
-        for q in range(len(asked)):
-            score = np.concatenate([rare[q, b] + asked[q] @ self.dense[b] for b in likely[q]])
-            if len(score) > top:
-                floor[q] = max(floor[q], np.partition(score, -top)[-top])
-        floor -= 1e-3
-        found_q, found_d, found_s = [], [], []
-        for b in range(self.blocks):
-            who = np.flatnonzero(bound[:, b] >= floor)
-            if not len(who):
-                continue
-            score = rare[who, b] + asked[who] @ self.dense[b]
-            i, j = np.nonzero((score >= floor[who][:, None]) & (score > 0))
-            found_q.append(who[i])
-            found_d.append(j + b * BLOCK)
-            found_s.append(score[i, j])
-        if not sum(map(len, found_q)):
+        if not len(self.terms):
+            return
+        place = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        known = self.terms[place] == terms
+        for low in range(0, len(bounds) - 1, most):
+            high = min(low + most, len(bounds) - 1)
+            at = slice(bounds[low], bounds[high])
+            here = known[at]
+            query = np.repeat(np.arange(high - low), np.diff(bounds[low : high + 1]))[here]
+            term, weight = place[at][here], weights[at][here]
+            column = self.column[term]
+            asked = np.zeros((high - low, self.dense.shape[1]))
+            asked[query[column >= 0], column[column >= 0]] = weight[column >= 0]
+            term, weight, query = term[column < 0], weight[column < 0], query[column < 0]
+            for q, docs, score in Visits(self, asked, term, weight, query, floors[low:high], top).best():
+                yield low + q, docs, score
+
+
+class Visits:
+    """Some queries' visits to the blocks of a shard: ``asked`` weights of frequent terms, and (term, weight, query) of the others."""
+
+    def __init__(self, shard: Shard, asked: np.ndarray, term: np.ndarray, weight: np.ndarray, query: np.ndarray, floors: np.ndarray, top: int):
+        self.shard, self.asked, self.top = shard, asked, top
+        n = shard.entries[term]
+        #: The posting blocks of the terms: their number in the shard, query, block and weight.
+        self.entry = np.repeat(shard.entry_ends[term] - np.cumsum(n), n) + np.arange(n.sum())
+        self.weight, self.query = np.repeat(weight, n), np.repeat(query, n)
+        self.block = shard.block[self.entry]
+        cell = self.query * shard.blocks + self.block
+        self.bound = np.bincount(cell, shard.most[self.entry] * self.weight, len(asked) * shard.blocks).reshape(len(asked), -1) + asked @ shard.maxima.T
+        self.floor = floors.copy()
+        self.high = [np.zeros(0)] * len(asked)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def _visit(self, chosen: np.ndarray) -> None:
+        """Score the (query, block) pairs that are ``chosen``, and raise the thresholds."""
+        s = self.shard
+        number = np.cumsum(chosen.ravel()).reshape(chosen.shape) - 1
+        query, block = np.nonzero(chosen)
+        score = np.zeros((len(query), BLOCK))
+        by_block = np.argsort(block, kind="stable")
+        cuts = np.searchsorted(block[by_block], np.arange(s.blocks + 1))
+        for b in range(s.blocks):
+            who = by_block[cuts[b] : cuts[b + 1]]
+            if len(who):
+                score[who] = self.asked[query[who]] @ s.dense[b]
+        mine = np.flatnonzero(chosen[self.query, self.block])
+        entry = self.entry[mine]
+        n = s.size[entry]
+        at = np.repeat(s.first[entry] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        slot = np.repeat(number[self.query[mine], self.block[mine]] * BLOCK, n) + s.docs[at] % BLOCK
+        score += np.bincount(slot, s.impacts[at] * np.repeat(self.weight[mine], n), score.size).reshape(score.shape)
+        self.found.append((query, block, score))
+        cuts = np.searchsorted(query, np.arange(len(chosen) + 1))
+        for q in np.unique(query).tolist():
+            best = np.r_[self.high[q], score[cuts[q] : cuts[q + 1]].ravel()]
+            if len(best) > self.top:
+                best = np.partition(best, -self.top)[-self.top :]
+            if len(best) == self.top:
+                self.floor[q] = max(self.floor[q], best.min())
+            self.high[q] = best
+
+    def best(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Visit blocks until all that are left are behind the pivot.  A little slack covers rounding."""
+        s, slack = self.shard, 1e-3
+        order = np.argsort(-self.bound, axis=1, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(s.blocks)[None, :], 1)
+        done = 0
+        for some in (*_VISITS, s.blocks):
+            reached = (self.bound >= self.floor[:, None] - slack) & (self.bound > 0)
+            chosen = reached & (rank >= done) & (rank < done + some)
+            if chosen.any():
+                self._visit(chosen)
+            done += some
+            if done >= s.blocks:
+                break
+        if not self.found:
             return
-        query, docs, score = np.concatenate(found_q), np.concatenate(found_d), np.round(np.concatenate(found_s), 4)
-        ids = self.ids[np.minimum(docs, self.n - 1)]
+        query, block, score = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        i, j = np.nonzero((score >= self.floor[query][:, None] - slack) & (score > 0))
+        if not len(i):
+            return
+        docs, query, score = block[i] * BLOCK + j, query[i], np.round(score[i, j], 4)
+        ids = s.ids[np.minimum(docs, s.n - 1)]
         order = np.lexsort((ids, -score, query))
         query, ids, score = query[order], ids[order], score[order]
         start = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
         for i, j in zip(start, np.r_[start[1:], len(query)].astype(np.int64), strict=True):
-            j = min(j, i + top)
+            j = min(j, i + self.top)
             yield int(query[i]), ids[i:j], score[i:j]
 
 
+def _query_blocks(asked: DataFrame, parts: int) -> str:
+    """Write rows (query, term, weight, floor) in blocks, one row each, below the shared folder."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        query, term, weight, floor = table["query"].to_numpy(), table["term"].to_numpy().view(np.uint64), table["weight"].to_numpy(), table["floor"].to_numpy()
+        order = np.lexsort((term, query))
+        names, at = np.unique(query[order], return_index=True)
+        packed = (names, term[order], weight[order], np.append(at, len(query)), floor[order][at])
+        return pa.table({c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(_QUERY, packed, strict=True)})
+
+    path = f"{shared_dir(asked.sparkSession)}/bm25-queries-{uuid.uuid4().hex}"
+    blocks_ = asked.groupBy(F.pmod(F.xxhash64("query"), F.lit(parts)).alias("block")).applyInArrow(grouped(pack), ", ".join(f"{c} binary" for c in _QUERY))
+    blocks_.write.parquet(path)
+    return path
+
+
+_QUERY = ("names", "terms", "weights", "bounds", "floors")
+_KINDS = (np.int64, np.uint64, np.float64, np.int64, np.float64)
+
+
+def _read_blocks(path: str) -> Iterator[tuple[np.ndarray, ...]]:
+    store, root = pafs.FileSystem.from_uri(path)
+    for f in store.get_file_info(pafs.FileSelector(root)):
+        if f.base_name.startswith("part-"):
+            with store.open_input_file(f.path) as source:
+                for batch in pq.ParquetFile(source).iter_batches(1):
+                    yield tuple(np.frombuffer(batch.column(c)[0].as_buffer(), kind) for c, kind in zip(_QUERY, _KINDS, strict=True))
+
+
 def search(index: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = TOP, query_terms_at_once: int = QUERY_TERMS) -> DataFrame:
     """Rows (query, rank, doc_id, score): the best ``top`` documents of every query."""
-    spark = index.sparkSession
-    n, mean = statistics(index)
-    asked = checkpointed(query_terms(queries, id_col, text_col).join(term_counts(index), "term").select("query", "term", F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("weight")))
+    n = index.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    frequency = F.log1p((F.lit(n // 8) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = checkpointed(query_terms(queries, id_col, text_col).join(term_counts(index), "term").select("query", "term", frequency.alias("weight")))
     parts = max(1, -(-asked.count() // query_terms_at_once))
-    best = None
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
-    for part in range(parts):
-        mine = (asked.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part) if parts > 1 else asked).toArrow()
-        first = checkpointed(_one_block(index.where("part = 0"), mine, {}, mean, top))
-        floors = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == top).select("query", "score").toArrow()
-        rest = _one_block(index.where("part <> 0"), mine, dict(zip(floors["query"].to_pylist(), floors["score"].to_pylist(), strict=True)), mean, top)
-        found = first.unionByName(rest)
-        best = found if best is None else best.unionByName(found)
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query", "rank", "doc_id", "score")
-
-
-def _one_block(index: DataFrame, asked: pa.Table, floors: dict[int, float], mean: float, top: int) -> DataFrame:
-    query, term, weight = asked["query"].to_numpy(), asked["term"].to_numpy().view(np.uint64), asked["weight"].to_numpy()
-    order = np.lexsort((term, query))
-    query, term, weight = query[order], term[order], weight[order]
-    names, at = np.unique(query, return_index=True)
-    least = np.array([floors.get(q, 0.0) for q in names.tolist()])
-    block = index.sparkSession.sparkContext.broadcast((names, term, weight, np.append(at, len(query)), least))
+    first = checkpointed(_found(index.where("part = 0"), _query_blocks(asked.withColumn("floor", F.lit(0.0)), parts), top))
+    floors = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == top).select("query", F.col("score").alias("floor"))
+    told = asked.join(floors, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    rest = _found(index.where("part <> 0"), _query_blocks(told, parts), top)
+    return first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query", "rank", "doc_id", "score")
+
+
+def _found(index: DataFrame, path: str, top: int) -> DataFrame:
+    """Rows (query, doc_id, score): what each shard finds for the query blocks below ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, term, weight, bounds, least = block.value
         for batch in batches:
             for row in range(batch.num_rows):
-                shard = Shard({c: batch.column(k)[row].as_buffer() for k, c in enumerate(batch.schema.names)}, mean)
-                rows = [(np.full(len(ids), names[q]), ids, score) for q, ids, score in shard.search(term, weight, bounds, least, top)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["query", "doc_id", "score"])
+                shard = Shard({c: batch.column(c)[row].as_buffer() for c in _COLUMNS}, batch.column("mean")[row].as_py())
+                for names, term, weight, bounds, least in _read_blocks(path):
+                    rows = [(np.full(len(ids), names[q]), ids, score) for q, ids, score in shard.search(term, weight, bounds, least, top)]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["query", "doc_id", "score"])
 
     return index.drop("part").mapInArrow(streamed(run), "query long, doc_id long, score double")
 
