@@ -213,7 +213,7 @@ class Shard:
             at = slice(self.entry_ends[t] - self.entries[t], self.entry_ends[t])
             self.maxima[self.block[at], k] = self.most[at]
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, bounds: np.ndarray, floors: np.ndarray, top: int, most: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def search(self, terms: np.ndarray, weights: np.ndarray, bounds: np.ndarray, floors: np.ndarray, top: int, most: int = 64) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Documents and scores for each query ``terms[bounds[q]:bounds[q + 1]]``: all that reach its floor and are among the best ``top``."""
         if not len(self.terms):
             return
