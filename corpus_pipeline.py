@@ -2,7 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its
 result is written as Parquet and read again as the next one's documents.  All but the
-last return the columns of ``documents``, extra columns included.
+last return the columns of ``documents``, extra columns included, whatever their names.
+An empty table stays empty; null ids and texts, empty and very long texts and repeated rows
+are as the operators define.
 
 1. language: rows whose language stays undetermined go (no letters or digits at all, or
    no language that is likely enough).  Without any labelled row nothing goes.
@@ -20,7 +22,9 @@ last return the columns of ``documents``, extra columns included.
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +34,24 @@ from chronolith.llm.common import WORD, broadcast_if_small, checkpointed, shared
 
 #: Near copies: shingles of so many words, and at least this Jaccard similarity.
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
-_ID, _HASH = "_cp_id", "_cp_hash"
+_ID, _HASH, _REST = "_cp_id", "_cp_hash", "_cp_rest"
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _carrying(stage: Stage) -> Stage:
+    """A stage to which all other columns are one, so that no name of theirs is in its way."""
+
+    @functools.wraps(stage)
+    def apply(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        rest = [c for c in docs.columns if c not in DOCUMENT]
+        if not rest:
+            return stage(spark, docs, sf_dir)
+        packed = docs.select(*DOCUMENT, F.struct(*(F.col(f"`{c}`") for c in rest)).alias(_REST))
+        return stage(spark, packed, sf_dir).select(*(F.col(c) if c in DOCUMENT else F.col(_REST)[c].alias(c) for c in docs.columns))
+
+    return apply
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -42,8 +63,8 @@ def _same(left: DataFrame, right: DataFrame) -> Column:
     return left[_ID].eqNullSafe(right["_r_id"]) & (left[_HASH] == right["_r_hash"])
 
 
+@_carrying
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
     model = language_id.train(docs)
     if not model.languages:
         return docs
@@ -54,8 +75,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keyed.join(rejected, _same(keyed, rejected), "left_anti").select(docs.columns)
 
 
+@_carrying
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
     found = checkpointed(ngram_join.component_table(docs, SHINGLE_WORDS, *SIMILARITY)).where("doc_id IS NOT NULL")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_r_id")).distinct()
     twice = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_r_id"))
@@ -67,16 +88,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return one.unionByName(several.select(*(F.col("_cp")[c].alias(c) for c in docs.columns)))
 
 
+@_carrying
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
     cut = substring_dedup.remove_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     size = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return cut.withColumns({"text": text, "n_chars": size}).select(docs.columns)
 
 
+@_carrying
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
     keyed = _keyed(docs)
     plan, _, mix = mixing.mix(keyed.select(F.col(_ID).alias("doc_id"), "text", "source", F.col(_HASH).alias("carried")), carry=("carried",))
     blocks = mixing.source_table(spark, plan).select("source_index", F.greatest(F.lit(1), F.ceil(F.col("source_size") / plan.block_words)).alias("blocks"))
