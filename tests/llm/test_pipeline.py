@@ -90,6 +90,18 @@ def test_edges_in_every_stage(spark, sf, rows):
             assert not got
 
 
+def test_names_that_stages_use_themselves(spark, sf):
+    names = ["_cp_id", "_cp_hash", "_r_id", "_cp", "_chunk", "chunk", "spans", "n_words", "ll", "p", "class", "bucket", "accepted", "a.b", "nested"]
+    docs = edge_docs(spark).drop("kept", "rank")
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.struct(F.lit(k).alias("k")) if name == "nested" else F.lit(k))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(list(r)[5:-1] == list(range(len(names) - 1)) and r["nested"]["k"] == len(names) - 1 for r in rows)
+
+
 def test_edge_results(spark, sf):
     docs = edge_docs(spark)
     ids = lambda df: Counter(r["doc_id"] for r in df.collect())
