@@ -36,7 +36,6 @@ terms; an empty table finds nothing; other columns are not read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, grouped, shared_dir, streamed
+from .common import checkpointed, grouped, scratch, streamed
 from .words import Words, blocks
 
 K1, B = 1.2, 0.75
@@ -138,7 +137,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         if held:
             yield _pack(part, mean, ids, parts, lengths)
 
-    path = f"{shared_dir(docs.sparkSession)}/bm25-{uuid.uuid4().hex}"
+    path = f"{scratch(docs.sparkSession, 'bm25')}/index"
     rows.mapInArrow(streamed(run), _INDEX).write.parquet(path)
     return docs.sparkSession.read.schema(_INDEX).parquet(path)
 
@@ -318,7 +317,7 @@ def _query_blocks(asked: DataFrame, parts: int) -> str:
         packed = (names, term[order], weight[order], np.append(at, len(query)), floor[order][at])
         return pa.table({c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(_QUERY, packed, strict=True)})
 
-    path = f"{shared_dir(asked.sparkSession)}/bm25-queries-{uuid.uuid4().hex}"
+    path = f"{scratch(asked.sparkSession, 'bm25')}/queries"
     blocks_ = asked.groupBy(F.pmod(F.xxhash64("query"), F.lit(parts)).alias("block")).applyInArrow(grouped(pack), ", ".join(f"{c} binary" for c in _QUERY))
     blocks_.write.parquet(path)
     return path

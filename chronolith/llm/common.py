@@ -8,6 +8,7 @@ import gc
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -157,3 +158,12 @@ def make_dir(spark: SparkSession, directory: str) -> None:
     """Create a folder in whatever store it names."""
     path = spark._jvm.org.apache.hadoop.fs.Path(directory)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared folder, which goes when the driver ends: results are read from it until then."""
+    directory = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    make_dir(spark, directory)
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return directory

@@ -141,7 +141,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     band that are still in different components are paired and verified too.  So a band of
     near copies costs its size, and only one of texts just below the threshold of each other
     costs pairs.  A class's name is its smallest id.  Copies of a text are one from the start.
-    Empty texts and null ids stay alone; a pair is missed only if it shares no band.
+    Empty texts stay alone; rows of one id are one document, all of whose texts count; rows
+    without id are left out; an empty table gives an empty result; other columns are not read.
+    A pair is missed only if it shares no band.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     keyed = rows.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))

@@ -62,6 +62,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_study(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5's bands, joined and verified: the class of each document."""
+    return fingerprints.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_ngram_join": op4_ngram_join,
     "op5_fingerprints": op5_fingerprints,
+    "fingerprint_classes": fingerprint_classes,
     "op6_mixing": op6_mixing,
     "op7_bm25_search": op7_bm25_search,
     "op8_language_id": op8_language_id,

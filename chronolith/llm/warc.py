@@ -12,7 +12,9 @@ from there, and reports the bytes between as a quarantined gap.
 Defined results: null payloads are empty; null urls have no target header; a null id
 is written as ``none`` and read back as null, and never counts as the smallest unless
 all ids of a payload are null (then each is a response).  Rows that repeat the smallest
-id are all responses.
+id are all responses.  An empty table gives no archive and no records; other columns, whatever
+their names, are not read.  A payload, and an archive when it is read, is held whole by one
+task: archives of more than 2 GB must be cut before they are read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ import base64
 import gzip
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import make_dir, shared_dir, streamed
+from .common import make_dir, scratch, streamed
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -222,15 +223,26 @@ def _records_at(data: bytes, at: int) -> tuple[list[Found], int]:
     return found, end
 
 
-def _next_start(data: bytes, at: int) -> int:
-    gz = data.find(GZIP_MAGIC, at)
-    line = _VERSION_LINE.search(data, at)
-    return min([x for x in (gz, line.start() if line else -1) if x >= 0], default=len(data))
+class _Starts:
+    """Where the next gzip member or version line begins.  Each of the two searches goes over the data once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.member, self.line = data, -1, -1
+
+    def after(self, at: int) -> int:
+        data = self.data
+        if self.member < at:
+            found = data.find(GZIP_MAGIC, at)
+            self.member = found if found >= 0 else len(data)
+        if self.line < at:
+            match = _VERSION_LINE.search(data, at)
+            self.line = match.start() if match else len(data)
+        return min(self.member, self.line)
 
 
 def salvage(data: bytes) -> Iterator[Found]:
     """All records of an archive in order, and the gaps between those that pass the checks."""
-    at, gap, why = 0, None, ""
+    at, gap, why, starts = 0, None, "", _Starts(data)
     while at < len(data):
         try:
             found, end = _records_at(data, at)
@@ -242,7 +254,7 @@ def salvage(data: bytes) -> Iterator[Found]:
                 yield from e.found
             if gap is None:
                 gap, why = at, str(e)
-            at = _next_start(data, at + 1)
+            at = starts.after(at + 1)
             continue
         if gap is not None:
             yield Found(gap, at - gap, "gap", reason=why)
@@ -276,7 +288,7 @@ def read(spark: SparkSession, directory: str, pattern: str = "*.warc*") -> DataF
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write pages as archives in a new shared folder and read them back."""
     spark = pages.sparkSession
-    directory = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    directory = scratch(spark, "warc")
     annotated = with_first_of_payload(pages.select("page_id", "url", "html"), "page_id", "html", min_bytes)
     write(annotated, directory)
     return read(spark, directory, "*.warc.gz")

@@ -92,9 +92,6 @@ class Words:
             h[i] = xxhash.xxh3_64_intdigest(raw[self.starts[i] : self.ends[i]].tobytes(), seed=seed)
         return h
 
-    def text_hashes(self, d: int) -> bytes:
-        return self.buf[self.bounds[d] : self.bounds[d + 1]].tobytes()
-
 
 def window_hashes(words: np.ndarray, width: int, base: int) -> np.ndarray:
     """Hash of each run of ``width`` consecutive word hashes, across text bounds too.

@@ -321,3 +321,37 @@ def test_visible_text_of_broken_pages(spark):
     pages = ["<p>one <!-- gone --> two <script>x</script>three", "a <!-- never closed " * 20000, "<" * 100_000, "b<script>" * 20000]
     got = [r[0].split() for r in spark.createDataFrame([(p,) for p in pages], "html string").select(language_id.visible_text(F.col("html"))).collect()]
     assert got[0] == ["one", "two", "three"] and got[1] == ["a"] and got[3] == ["b"]
+
+
+def test_near_duplicate_classes_of_odd_rows(spark):
+    long = "w " * 100_000
+    words = " ".join(f"w{k}" for k in range(50))
+    rows = [(None, words), (1, None), (2, ""), (3, " "), (9, words), (9, words), (4, words), (5, long), (6, long), (7, "lone text of few words"), (8, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("id", "sha", "fingerprint", "b", "key", "part", "class_id")})
+    got = sorted(tuple(r) for r in fingerprints.near_duplicate_classes(d).collect())
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 5), (7, 7), (8, 8), (9, 4)]
+    assert fingerprints.near_duplicate_classes(d.limit(0)).count() == 0
+
+
+def test_fingerprint_study_is_that_of_a_plain_version(spark, sf):
+    """Fingerprints and likeness recomputed one shingle and one permutation at a time, for some documents."""
+    from chronolith.llm.words import Words, shingles
+
+    docs = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()), reverse=True)
+    got = {r["doc_id"]: r for r in fingerprints.edit_study(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    a, b = (x.tolist() for x in fingerprints._family(fingerprints.PERMUTATIONS))
+
+    def plain(text):
+        values = set(shingles(Words(pa.array([text])), fingerprints.WIDTH)[0].tolist())
+        return [min(((x * p + q) % 2**64) >> 32 for x in values) & 0xFFFF if values else 0xFFFF for p, q in zip(a, b, strict=True)]
+
+    like = lambda x, y: sum(i == j for i, j in zip(x, y, strict=True)) / len(x)
+    for k in range(0, len(docs), 23):
+        (i, text), (_, other) = docs[k], docs[(k + 1) % len(docs)]
+        if len(text) > 4000 or len(other) > 4000:
+            continue
+        half = len(text) // 2
+        own, new, next_ = plain(text), plain(text[: len(text) - half] + other[:half]), plain(other)
+        assert got[i]["fingerprint"] == "".join(f"{x:04x}" for x in own) and got[i]["edited_fingerprint"] == "".join(f"{x:04x}" for x in new)
+        if text.split() and other.split():
+            assert abs(got[i]["near_edited"] - like(own, new)) < 1e-12 and abs(got[i]["near_next"] - like(own, next_)) < 1e-12
