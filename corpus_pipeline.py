@@ -23,14 +23,13 @@ are as the operators define.
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm import language_id, mixing, ngram_join, queries, substring_dedup
-from chronolith.llm.common import WORD, broadcast_if_small, checkpointed, shared_dir, ship, table
+from chronolith.llm.common import WORD, broadcast_if_small, checkpointed, scratch, ship, table
 
 #: Near copies: shingles of so many words, and at least this Jaccard similarity.
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
@@ -125,7 +124,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each one's result is a folder of the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
