@@ -131,13 +131,17 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     counts, of a fixed size for each language, are summed on the driver.
     """
     ids = labelled.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
-    names = sorted(r["label"] for r in ids.select("label").distinct().limit(max_languages + 1).collect())
+    counts = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
+    names = sorted(counts)
     if len(names) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not names:
         return Model((), np.zeros((0, BUCKETS), np.float32))
+    # the smallest hashes of a label are below a bound that leaves some four times as many rows as are wanted, however many it has
+    bounds = [(x, min(2**63 - 1, -(2**63) + (4 * sample << 64) // n)) for x, n in counts.items()]
+    few = ids.join(F.broadcast(labelled.sparkSession.createDataFrame(bounds, "label string, bound long")), "label").where(F.xxhash64("id") <= F.col("bound"))
     first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = ids.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).select("id", "label")
+    chosen = few.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).select("id", "label")
     picked = labelled.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text")).join(F.broadcast(chosen), ["id", "label"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

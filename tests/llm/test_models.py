@@ -355,3 +355,16 @@ def test_fingerprint_study_is_that_of_a_plain_version(spark, sf):
         assert got[i]["fingerprint"] == "".join(f"{x:04x}" for x in own) and got[i]["edited_fingerprint"] == "".join(f"{x:04x}" for x in new)
         if text.split() and other.split():
             assert abs(got[i]["near_edited"] - like(own, new)) < 1e-12 and abs(got[i]["near_next"] - like(own, next_)) < 1e-12
+
+
+def test_training_sample_is_that_of_the_smallest_hashes(spark):
+    """The rows that a task gets of a label are bounded, and the choice is that of a full sort."""
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") % 50 == 0, "rare").otherwise("hot").alias("lang"))
+    model = language_id.train(docs, sample=30)
+    want = []
+    for name in ("hot", "rare"):
+        texts = [r["text"] for r in docs.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(30).collect()]
+        found, _ = language_id.trigrams(pa.array(texts))
+        count = np.bincount(found, minlength=language_id.BUCKETS)
+        want.append(np.log((count + 0.5) / (count.sum() + 0.5 * language_id.BUCKETS)))
+    assert model.languages == ("hot", "rare") and np.allclose(model.table, np.array(want, np.float32))
