@@ -122,7 +122,7 @@ def test_text_in_no_trained_language_is_not_accepted(spark, sf):
 def test_no_label_is_dropped(spark):
     docs = spark.range(201).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id) AS lang")
     with pytest.raises(ValueError, match="more than 200 languages"):
-        language_id.train(docs)
+        language_id.train(docs, max_languages=200)
     assert len(language_id.train(docs.limit(5), max_languages=5).languages) == 5
 
 
