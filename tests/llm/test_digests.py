@@ -109,6 +109,13 @@ def test_warc_duplicates_and_nulls(spark):
     assert warc.page_digests(warc.round_trip(pages.limit(0))).count() == 0
 
 
+def test_warc_very_long_payloads(spark):
+    rows = [(i, None, "é<b>" * 300_000) for i in (4, 2, 3)] + [(9, "u", "short"), (9, "u", "short"), (None, "u", "x" * 2_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("_sha", "_first", "_n", "_shared", "refers_to", "i", "u", "p", "r")})
+    got = sorted((r["page_id"] if r["page_id"] is not None else -1, r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in warc.page_digests(warc.round_trip(pages)).collect())
+    assert got == [(-1, 2_000_000, "response", 0), (2, 1_500_000, "response", 0), (3, 1_500_000, "revisit", 2), (4, 1_500_000, "revisit", 2), (9, 5, "response", 0), (9, 5, "response", 0)]
+
+
 def test_salvage():
     records = [gzip.compress(warc.record(i, "u", f"payload {i}".encode() * 50, None), mtime=0) for i in range(5)]
     whole = b"".join(records)
@@ -236,6 +243,20 @@ def test_small_sources_give_their_targets(spark):
         assert taken == {r["doc_id"]: r["taken"] for r in got}
 
 
+def test_mix_of_clashing_columns_and_long_texts(spark):
+    """Other columns change nothing, whatever their names; a text of a million words is cut like any other."""
+    d = docs_of(spark, [*EDGE_DOCS, (20, "long " * 1_000_000, "en", "a", 1)])
+    clash = d.withColumns({c: F.lit("clash") for c in ("size", "start", "block", "word", "words", "bucket", "place", "target", "source_index", "source_size", "slot", "rank", "upto", "_key")})
+    plain, other = (sorted((tuple(r) for r in mixing.taken_words(x).collect()), key=str) for x in (d, clash))
+    assert plain == other and len(plain) == len(EDGE_DOCS) + 1
+    assert all(taken <= 2 * size for _, size, _, _, taken in plain)
+    goals, taken = {}, defaultdict(int)
+    for _, _, words, target, t in plain:
+        goals[words, target] = target
+        taken[words, target] += t
+    assert all(abs(taken[k] - target) <= 1 for k, target in goals.items())
+
+
 def test_schedule_is_even(spark):
     p = mixing.Plan(tuple(mixing.Source(i, str(i), 10_000_000, t) for i, t in enumerate((300_000.0, 100_000.0, 0.0, 200_000.0))), 10, 2.0)
     rows = mixing.schedule(spark, p).orderBy("slot").collect()
