@@ -154,6 +154,24 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(found) if found.count() <= BROADCAST_ROWS else found.hint("merge")
 
 
+#: Keys with more rows are joined by broadcast, the largest first, and at most ``BROADCAST_ROWS`` of them.
+HOT_ROWS = 1000
+
+
+def hand_out(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``values``, where a key has one row with ``n``, the rows it goes to, and what to give them.
+
+    The hottest keys are broadcast, so that their rows stay where they are; all others are joined by a shuffle,
+    where no task gets more than a key's share of them.  Both sides should be checkpoints: they are read more than once.
+    """
+    hot = checkpointed(values.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), key).limit(BROADCAST_ROWS).drop("n"))
+    given = values.drop("n")
+    if hot.isEmpty():
+        return rows.join(given, key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(others.join(given, key))
+
+
 def make_dir(spark: SparkSession, directory: str) -> None:
     """Create a folder in whatever store it names."""
     path = spark._jvm.org.apache.hadoop.fs.Path(directory)

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import partitions
-from .common import broadcast_if_small, checkpointed, grouped, streamed
+from .common import broadcast_if_small, checkpointed, grouped, hand_out, streamed
 from .graph import connected_components
 from .words import Words, blocks, mix, shingles
 
@@ -361,17 +361,18 @@ def component_table(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
 
     holders = checkpointed(full.where("doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(lists.select("class").distinct(), "class", "left_semi"))
     degree = lists.groupBy("class").agg(F.count(F.lit(1)).alias("degree"))
-    pivot = lists.join(degree, "class").groupBy("list").agg(F.max(F.struct("degree", "class", "size", "place")).alias("p")).select("list", F.col("p.class").alias("y"), F.col("p.size").alias("sy"), F.col("p.place").alias("iy"))
-    stars = lists.select("list", F.col("class").alias("x"), F.col("size").alias("sx"), F.col("place").alias("ix")).join(pivot, "list")
+    pivot = lists.join(degree, "class").groupBy("list").agg(F.max(F.struct("degree", "class", "size", "place")).alias("p"), F.count(F.lit(1)).alias("n"))
+    pivot = checkpointed(pivot.select("list", F.col("p.class").alias("y"), F.col("p.size").alias("sy"), F.col("p.place").alias("iy"), "n"))
+    stars = hand_out(lists.select("list", F.col("class").alias("x"), F.col("size").alias("sx"), F.col("place").alias("ix")), pivot, "list")
     stars = checkpointed(stars.where((F.col("x") != F.col("y")) & _can_link(num, den)).select("x", "y", "sx", "sy").distinct())
     several = full.groupBy("doc_id").agg(F.min("class").alias("u"), F.max("class").alias("v")).where("doc_id IS NOT NULL AND u <> v").select(F.col("doc_id").alias("d"), "u")
     same_id = full.join(several, F.col("doc_id") == F.col("d")).select("u", F.col("class").alias("v"))
     links = verified(possible(stars, sketches, num, den), rows, holders, how, num, den).toDF("u", "v").unionByName(same_id)
     parts = connected_components(links)
 
-    member = lists.join(parts.withColumnRenamed("node", "class"), "class", "left").select("list", "class", "size", "place", F.coalesce("component", "class").alias("part"))
-    split = member.groupBy("list").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("list")
-    open_ = checkpointed(member.join(split, "list", "left_semi"))
+    member = checkpointed(lists.join(parts.withColumnRenamed("node", "class"), "class", "left").select("list", "class", "size", "place", F.coalesce("component", "class").alias("part")))
+    split = checkpointed(member.groupBy("list").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("list", "n"))
+    open_ = checkpointed(hand_out(member, split, "list"))
     every = open_.groupBy("class").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "list"))), lambda e: e.list).alias("lists"))
     full_rows = open_.join(every, "class")
     one, other = (full_rows.select("list", F.col("class").alias(c), F.col("size").alias(f"s{c}"), F.col("place").alias(f"i{c}"), F.col("part").alias(f"p{c}"), F.col("lists").alias(f"l{c}")) for c in "xy")
@@ -383,10 +384,13 @@ def component_table(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
     ends = more.join(parts.toDF("x", "cx"), "x", "left").join(parts.toDF("y", "cy"), "y", "left")
     bridges = connected_components(ends.select(F.coalesce("cx", "x").alias("u"), F.coalesce("cy", "y").alias("v")))
 
-    named = full.where("doc_id IS NOT NULL").join(parts.toDF("class", "a"), "class", "left").withColumn("a", F.coalesce("a", "class"))
-    named = named.join(bridges.toDF("a", "b"), "a", "left").select("doc_id", F.coalesce("b", "a").alias("part"))
-    least = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    of = named.join(least, "part").select("doc_id", "component_id").distinct()
+    known = full.where("doc_id IS NOT NULL")
+    classes = known.groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    classes = classes.join(parts.toDF("class", "a"), "class", "left").withColumn("a", F.coalesce("a", "class"))
+    classes = checkpointed(classes.join(broadcast_if_small(bridges.toDF("a", "b")), "a", "left").select("class", "least", "rows", F.coalesce("b", "a").alias("part")))
+    least = checkpointed(classes.groupBy("part").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    named = checkpointed(hand_out(classes, least, "part").select("class", "component_id", F.col("rows").alias("n")))
+    of = hand_out(known.select("doc_id", "class"), named, "class").select("doc_id", "component_id").distinct()
     return marks.select("doc_id", F.col("n").alias("n_shingles")).join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

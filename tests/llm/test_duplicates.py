@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.llm import graph, ngram_join, substring_dedup
+from chronolith.llm import common, graph, ngram_join, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = [
@@ -93,6 +93,28 @@ def test_components_large_group_is_linear(spark):
     assert {c for _, _, c in components(spark, rows)} == {0}
 
 
+@pytest.mark.parametrize(("hot_rows", "broadcast_rows"), [(1, 3), (4, 200_000), (1000, 0)])
+def test_components_hot_keys(spark, monkeypatch, hot_rows, broadcast_rows):
+    """Keys that are joined by broadcast, those beyond its bound, and none: the components are those of brute force."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast_rows)
+    rows = random_docs(8, 60) + [(1000 + k, "one text that many rows have in common") for k in range(20)]
+    rows += [(2000 + k, " ".join(f"n{i}" if i != 3 * k else "other" for i in range(60))) for k in range(20)]
+    assert components(spark, rows) == brute_components(rows)
+
+
+def test_hand_out_is_an_inner_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "c"), (2, "d"), (2, "e"), (2, "f"), (3, "g"), (4, "h")], "k long, v string")
+    values = spark.createDataFrame([(1, 3, "x"), (2, 4, "y"), (3, 1, None), (5, 9, "z")], "k long, n long, w string")
+    want = sorted((tuple(r) for r in rows.join(values.drop("n"), "k").collect()), key=str)
+    for given in (values, values.where("k = 3"), values.limit(0)):
+        got = sorted((tuple(r) for r in common.hand_out(rows, given, "k").collect()), key=str)
+        keys = {r["k"] for r in given.collect()}
+        assert got == [r for r in want if r[0] in keys]
+
+
 def test_boundary_and_subsets():
     assert ngram_join.least_overlap(12, 12, 85, 100) == 12
     assert ngram_join.least_overlap(13, 13, 85, 100) == 12
