@@ -78,6 +78,19 @@ def test_search_edges(spark):
     assert search(spark, [], 10) == []
 
 
+def test_query_blocks_have_a_term_once(spark):
+    """Every shard reads all of them, so at 6 GB what is in them counts once for each shard."""
+    rows = random_rows(6, 120)
+    d = table(spark, rows)
+    asked = bm25.query_terms(d, "doc_id", "text").withColumns({"weight": F.lit(1.5), "floor": F.lit(0.0)})
+    blocks = list(bm25._read_blocks(bm25._query_blocks(asked, 1)))
+    own = {i: set(terms(t)) for i, t in rows}
+    assert len(blocks) == 1
+    names, hashes, weights, pairs, bounds, _ = blocks[0]
+    assert len(hashes) == len(weights) == len(set(hashes.tolist())) == len(set().union(*own.values()))
+    assert len(pairs) == bounds[-1] and dict(zip(names.tolist(), np.diff(bounds).tolist(), strict=True)) == {i: len(t) for i, t in own.items()}
+
+
 def test_language_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = language_id.train(docs)
